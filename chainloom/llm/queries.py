@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.functions.normalise import clean_address, hash_bytes, real_hash, sql_address, sql_real_hash
+from chainloom.functions.normalise import clean_address, clean_name, hash_bytes, real_hash, sql_address, sql_real_hash
 from chainloom.llm import chain
 from chainloom.llm.components import group_members
 from chainloom.llm.distinct_runs import merge_counts, run_states
+from chainloom.llm.mixing import mix
 from chainloom.llm.percentiles import STATE_BITS, radix_select, radix_state
+from chainloom.llm.tokens import decode, encode, token_counts
 from chainloom.session import Saved, table
 
 DIMS = ["day", "coin", "pattern"]
@@ -127,6 +129,37 @@ SELECT {groups}, n, q, value FROM r JOIN q ON k = greatest(CAST(ceil(q * n) AS B
 _LEADING = f"((value >> greatest(length(bin(value)) - {STATE_BITS + 1}, 0)) << greatest(length(bin(value)) - {STATE_BITS + 1}, 0))"
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, ids): the token ids of each document by byte_bpe_50k, without special tokens."""
+    return encode(table(spark, sf_dir, "documents"))
+
+
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes, digest) of each text as decoded from its ids."""
+    texts = decode(p6_ids(spark, sf_dir))
+    return texts.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
+P6_DECODED = "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, md5(coalesce(text, '')) AS digest FROM documents"
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    named = docs.select("doc_id", clean_name(F.col("source")).alias("source"))
+    sizes = token_counts(docs).join(named, "doc_id").select("doc_id", "source", "n_tokens")
+    return mix(Saved(sizes, "sizes").df, table(spark, sf_dir, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of the mixture: doc_id, source, pass, n_tokens, finish, end_token."""
+    return _mixed(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source of mix_targets."""
+    return _mixed(spark, sf_dir)[1]
+
+
 def queries() -> dict:
     return {
         "p1_distinct_addresses": p1_distinct_addresses,
@@ -136,6 +169,10 @@ def queries() -> dict:
         "p4_value_percentiles": p4_value_percentiles,
         "p4_value_by_week": p4_value_by_week,
         "p4_blocksize_percentiles": p4_blocksize_percentiles,
+        "p6_ids": p6_ids,
+        "p6_decoded": p6_decoded,
+        "p7_mix": p7_mix,
+        "p7_shares": p7_shares,
     }
 
 
@@ -150,4 +187,5 @@ def oracle_sql() -> dict[str, str]:
         + f", w AS (SELECT *, CAST(date_trunc('week', day) AS DATE) AS week, {_LEADING} AS lead FROM o WHERE value IS NOT NULL)"
         + _ranked("week, coin", "w", "lead"),
         "p4_blocksize_percentiles": chain.SQL + _ranked("day, coin", "b", "blocksize"),
+        "p6_decoded": P6_DECODED,
     }
