@@ -1 +1,8 @@
 """Spark-native analytics over Bitcoin-family chains."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the plan, so that executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
