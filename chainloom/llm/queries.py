@@ -9,6 +9,7 @@ from chainloom.functions.normalise import clean_address, clean_name, hash_bytes,
 from chainloom.llm import chain
 from chainloom.llm.components import group_members
 from chainloom.llm.distinct_runs import merge_counts, run_states
+from chainloom.llm import language
 from chainloom.llm.mixing import mix
 from chainloom.llm.percentiles import STATE_BITS, radix_select, radix_state
 from chainloom.llm.tokens import decode, encode, token_counts
@@ -160,6 +161,28 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.label_codes(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "lang_names"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang): each language in which the text is written and which its label doesn't name."""
+    docs = _labelled(spark, sf_dir)
+    return language.found(docs, language.train(docs))
+
+
+def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, with confidence, share of the text and the code of its label."""
+    docs = _labelled(spark, sf_dir)
+    return language.documents(docs, language.train(docs))
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of each document by language, with confidence."""
+    docs = _labelled(spark, sf_dir)
+    return language.segments(docs, language.train(docs))
+
+
 def queries() -> dict:
     return {
         "p1_distinct_addresses": p1_distinct_addresses,
@@ -173,6 +196,9 @@ def queries() -> dict:
         "p6_decoded": p6_decoded,
         "p7_mix": p7_mix,
         "p7_shares": p7_shares,
+        "p8_found": p8_found,
+        "p8_documents": p8_documents,
+        "p8_segments": p8_segments,
     }
 
 

@@ -33,9 +33,6 @@ TIKTOKEN_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}
 #: Words of one chunk; a chunk is what one task decodes at a time. A single longer text is a chunk of its own.
 CHUNK_WORDS = 1_000_000
 
-_loaded: dict[str, object] = {}
-
-
 def ranks(folder: str = TOKENIZERS) -> dict[bytes, int]:
     """Piece to id of the vocabulary file."""
     with open(f"{folder}/{VOCABULARY}", "rb") as f:
@@ -43,12 +40,13 @@ def ranks(folder: str = TOKENIZERS) -> dict[bytes, int]:
 
 
 def encoder(folder: str = TOKENIZERS):
-    """The tokenizer, loaded once a Python process."""
-    if folder not in _loaded:
-        import tiktoken
+    """The tokenizer, loaded once a Python process; kept in the library's module, as this one's globals travel with each task."""
+    import tiktoken
 
-        _loaded[folder] = tiktoken.Encoding("bytes", pat_str=TIKTOKEN_PATTERN, mergeable_ranks=ranks(folder), special_tokens={})
-    return _loaded[folder]
+    loaded = tiktoken.__dict__.setdefault("loaded_by_folder", {})
+    if folder not in loaded:
+        loaded[folder] = tiktoken.Encoding("bytes", pat_str=TIKTOKEN_PATTERN, mergeable_ranks=ranks(folder), special_tokens={})
+    return loaded[folder]
 
 
 def _cuts(lens: np.ndarray) -> Iterator[tuple[int, int]]:
