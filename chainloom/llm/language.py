@@ -131,45 +131,52 @@ class Model:
         return np.where((top >= LEAST) & (top - second >= LEAD), best, -1), 1 / e.sum(1)
 
 
-def _ridge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Weights of the columns for targets y (sentences by languages)."""
-    u, z = _unit(x), _unit(x[marks])
+def _kernel(sentences: Sequence[str], z: np.ndarray) -> np.ndarray:
+    """Kernel values of sentences and landmarks z (unit presence rows), block by block."""
+    parts = [_unit(presence(sentences[i : i + BLOCK])) @ z.T for i in range(0, len(sentences), BLOCK)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(z)), np.float32)
+
+
+def _ridge(k: np.ndarray, z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients of the landmarks, weights of the columns) for kernel values k and targets y (sentences by languages)."""
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     good = values > 1e-6 * values[-1]
-    root = (vectors[:, good] / np.sqrt(values[good])).astype(np.float64)  # Nyström: features are K(x, z) @ root
-    f = (u @ z.T).astype(np.float64) @ root
+    root = vectors[:, good] / np.sqrt(values[good])  # Nyström: features are K(x, z) @ root
+    f = k @ root
     w = weight / weight.sum()
     a = (f * w[:, None]).T @ f
     b = (f * w[:, None]).T @ y
     coef = root @ np.linalg.solve(a + RIDGE * np.eye(len(a)) / f.shape[1], b)
-    return (z.T.astype(np.float64) @ coef).astype(np.float32)
+    return coef, (z.T.astype(np.float64) @ coef).astype(np.float32)
 
 
 def fit(sentences: Sequence[str], labels: Sequence[str], seed: int = 0) -> Model:
     """A model from normalised sentences with labels of which a minority may be wrong.
 
-    First the labels are fitted as they come; a language to which that model gives fewer than a tenth of the sentences labelled with it, or fewer than three, was
-    never there. Then the model's own labels are fitted, all languages weighing the same.
+    First the labels are fitted as they come; a language to which that model gives fewer than a tenth of the sentences labelled
+    with it, or fewer than three, was never there. Then the model's own labels are fitted, all languages weighing the same.
     """
     langs = sorted(set(labels))
+    nothing = Model([], np.zeros((COLUMNS, 0), np.float32))
     if not langs:
-        return Model([], np.zeros((COLUMNS, 0), np.float32))
+        return nothing
     rng = np.random.default_rng(seed)
-    x = presence(sentences)
     given = np.array([langs.index(v) for v in labels])
-    hot = np.eye(len(langs))
-    marks = rng.permutation(len(x))[:LANDMARKS]
-    first = (x @ _ridge(x, hot[given], np.ones(len(x)), marks)).argmax(1)
+    marks = rng.permutation(len(sentences))[:LANDMARKS]
+    z = _unit(presence([sentences[i] for i in marks]))
+    k = _kernel(sentences, z)
+    first = (k @ _ridge(k, z, np.eye(len(langs))[given], np.ones(len(k)))[0]).argmax(1)
     n, asked = np.bincount(first, minlength=len(langs)), np.bincount(given, minlength=len(langs))
-    there = [k for k in range(len(langs)) if n[k] >= max(3, 0.1 * asked[k]) or n[k] == len(x)]
+    there = [j for j in range(len(langs)) if n[j] >= max(3, 0.1 * asked[j]) or n[j] == len(k)]
     if not there:
-        return Model([], np.zeros((COLUMNS, 0), np.float32))
-    kept = np.isin(first, there)
-    x, mine = x[kept], np.array([there.index(k) for k in first[kept]])
+        return nothing
+    kept = [i for i in range(len(first)) if first[i] in there]
+    mine = np.array([there.index(first[i]) for i in kept])
     share = LANDMARKS // len(there) + 1
-    marks = np.concatenate([rng.permutation(np.flatnonzero(mine == k))[:share] for k in range(len(there))])
-    weight = 1 / np.bincount(mine)[mine]
-    return Model([langs[k] for k in there], _ridge(x, np.eye(len(there))[mine], weight, marks))
+    marks = np.concatenate([rng.permutation(np.flatnonzero(mine == j))[:share] for j in range(len(there))])
+    z = _unit(presence([sentences[kept[i]] for i in marks]))
+    k = _kernel([sentences[i] for i in kept], z)
+    return Model([langs[j] for j in there], _ridge(k, z, np.eye(len(there))[mine], 1 / np.bincount(mine)[mine])[1])
 
 
 def label_codes(docs: DataFrame, names: DataFrame, label: str = "lang") -> DataFrame:
@@ -178,7 +185,7 @@ def label_codes(docs: DataFrame, names: DataFrame, label: str = "lang") -> DataF
     known = names.select(F.col("code").alias("label_code"), F.explode(F.array(*[F.lower(F.btrim(F.col(c), F.lit(BLANKS))) for c in ("code", "code3", "english_name")])).alias("__name"))
     known = known.where("__name IS NOT NULL AND label_code IS NOT NULL").groupBy("__name").agg(F.min("label_code").alias("label_code"))
     side = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-    return docs.withColumn("__bare", bare).join(side, F.col("__bare") == F.col("__name"), "left").drop("__bare", "__name")
+    return docs.drop("label_code").withColumn("__bare", bare).join(side, F.col("__bare") == F.col("__name"), "left").drop("__bare", "__name")
 
 
 def train(docs: DataFrame, doc: str = "doc_id", text: str = "text", limit: int = FIT_DOCS) -> Model:
