@@ -24,10 +24,10 @@ KEY = ["p", "n"]
 
 def hash_key(df: DataFrame, hash_col: Column, *keep: Column) -> DataFrame:
     """(p, n, keep...) of a cleaned hash; what isn't 64 hex digits is a prefix of its own with integer -1."""
-    df = df.select(hash_col.alias("h"), *keep).withColumn("h", hash_bytes(F.col("h")))
-    whole = F.length("h") == 32
-    n = F.when(whole, F.conv(F.hex(F.substring("h", 27, 6)), 16, 10).cast("bigint")).otherwise(F.lit(-1).cast("bigint"))
-    return df.withColumn("p", F.when(whole, F.substring("h", 1, 26)).otherwise(F.col("h"))).withColumn("n", n).drop("h")
+    df = df.select(hash_col.alias("__h"), *keep).withColumn("__h", hash_bytes(F.col("__h")))
+    whole = F.length("__h") == 32
+    n = F.when(whole, F.conv(F.hex(F.substring("__h", 27, 6)), 16, 10).cast("bigint")).otherwise(F.lit(-1).cast("bigint"))
+    return df.withColumn("p", F.when(whole, F.substring("__h", 1, 26)).otherwise(F.col("__h"))).withColumn("n", n).drop("__h")
 
 
 def outpoint_key(df: DataFrame, hash_col: Column, index: Column, *keep: Column) -> DataFrame:

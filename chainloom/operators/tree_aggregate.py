@@ -68,10 +68,8 @@ def tree_aggregate(
     splits = max(1, splits)
     fan_in = fan_in or pick_fan_in(splits)
     node = "__node"
-    keyed = [F.col(k) for k in keys]
     at = F.pmod(F.spark_partition_id(), F.lit(splits))
-    level = df.select(*keyed, *[F.col(c) for c in df.columns if c not in keys], F.floor(at / fan_in).cast("int").alias(node))
-    level = level.groupBy(*keys, node).agg(*[s.first.alias(s.name) for s in states])
+    level = df.withColumn(node, F.floor(at / fan_in).cast("int")).groupBy(*keys, node).agg(*[s.first.alias(s.name) for s in states])
     for _ in range(rounds(splits, fan_in) - 1):
         level = level.withColumn(node, F.floor(F.col(node) / fan_in).cast("int"))
         level = level.groupBy(*keys, node).agg(*[getattr(F, s.merge)(s.name).alias(s.name) for s in states])
