@@ -9,6 +9,7 @@ coefficients; the last two are multiplied once, when the model is fitted.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -36,8 +37,8 @@ SHARP = 8.0
 #: A text is written in a language from one whole sentence of this many words on, or of so many Chinese or Japanese characters.
 WORDS = 10
 CHARACTERS = 20
-#: Sentences scored in one matrix product.
-BLOCK = 2048
+#: Sentences scored in one matrix product; their presence matrix stays in the processor's cache.
+BLOCK = 128
 
 END = re.compile(r"[.!?]+[\"'”»’)\]]*(?=[\s<]|$)|[。！？]|\n[ \t\r]*\n")
 SCRIPT = re.compile(r"[぀-ヿ㐀-䶿一-鿿]")
@@ -45,7 +46,8 @@ TAG = re.compile(r"<[^<>\n]{1,80}>|&[a-z#0-9]{2,8};")
 WRAP = re.compile(r"-[ \t\r]*\n[ \t]*")
 #: UTF-8 read as Latin-1.
 GARBLED = re.compile("[Â-ô][\u0080-¿]{1,3}")
-NO_LETTERS = {i: " " for i in range(0x250) if not chr(i).isalpha()} | {i: " " for i in range(0x2000, 0x2C00)} | {i: " " for i in (0xFFFD, 0xFEFF, *range(0xFF01, 0xFF20))}
+DAMAGED = re.compile("[Â-ô][\u0080-¿]|[\u0300-\u036f]")
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def _repair(m: re.Match) -> str:
@@ -71,9 +73,9 @@ def letters(sentence: str) -> str:
         sentence = TAG.sub(" ", sentence)
     if "\n" in sentence:
         sentence = WRAP.sub("", sentence)
-    if GARBLED.search(sentence):
-        sentence = GARBLED.sub(_repair, sentence)
-    return " ".join(sentence.lower().translate(NO_LETTERS).split())
+    if DAMAGED.search(sentence):
+        sentence = unicodedata.normalize("NFC", GARBLED.sub(_repair, sentence))
+    return " ".join(LETTERS.findall(sentence.lower()))
 
 
 def enough(words: str) -> bool:
@@ -82,21 +84,17 @@ def enough(words: str) -> bool:
 
 
 def presence(sentences: Sequence[str]) -> np.ndarray:
-    """The presence matrix of normalised sentences: 1 where a sentence holds an n-gram of the column."""
-    lens = np.fromiter(map(len, sentences), np.int64, len(sentences)) + 1
-    c = np.frombuffer("\n".join([*sentences, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    """The presence matrix of normalised sentences: 1 where a sentence holds an n-gram of the column; its ends count as signs."""
+    c = np.frombuffer(("\n\n" + "\n\n\n".join(sentences) + "\n\n\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    lens = np.fromiter(map(len, sentences), np.int64, len(sentences)) + 3
     row = np.repeat(np.arange(len(sentences), dtype=np.uint32) * np.uint32(COLUMNS), lens)
+    n, shift = len(row), np.uint32(33 - COLUMNS.bit_length())
     x = np.zeros(len(sentences) * COLUMNS, np.float32)
-    h = c * np.uint32(2654435761)
-    last = c == 10
-    shift = np.uint32(32 - COLUMNS.bit_length() + 1)
-    keep = ~last
-    x[row[keep] + (h[keep] >> shift)] = 1
-    for n in (1, 2):
-        h = (h[:-1] * np.uint32(0x9E3779B1) + c[n:]) * np.uint32(0x85EBCA6B)
-        h ^= h >> np.uint32(15)
-        keep = keep[:-1] & ~last[n:]
-        x[row[: len(h)][keep] + ((h[keep] * np.uint32(0xC2B2AE35)) >> shift)] = 1
+    one = c * np.uint32(0x9E3779B1)
+    two = (one[:-1] ^ (c[1:] * np.uint32(0x85EBCA6B) << np.uint32(7))) * np.uint32(0xC2B2AE35)
+    three = (two[:n] + c[2:] * np.uint32(0x27D4EB2F)) * np.uint32(0x165667B1)
+    for h in (one[:n], two[:n], three):
+        x[(h >> shift) + row] = 1
     return x.reshape(len(sentences), COLUMNS)
 
 
@@ -114,9 +112,10 @@ class Model:
     def scores(self, sentences: Sequence[str]) -> np.ndarray:
         """The score of each normalised sentence for each language."""
         out = np.zeros((len(sentences), len(self.langs)), np.float32)
+        counted = np.concatenate([self.weights, np.ones((COLUMNS, 1), np.float32)], axis=1)
         for i in range(0, len(sentences), BLOCK):
-            x = presence(sentences[i : i + BLOCK])
-            out[i : i + BLOCK] = (x @ self.weights) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+            y = presence(sentences[i : i + BLOCK]) @ counted
+            out[i : i + BLOCK] = y[:, :-1] / np.sqrt(y[:, -1:])
         return out
 
     def name(self, sentences: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
