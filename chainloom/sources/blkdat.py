@@ -117,7 +117,8 @@ class _File:
 
 
 class BlockReader(DataSourceReader):
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, schema=None):
+        self.schema = schema
         self.folder = options.get("path") or ""
         self.coin = coin_of(options.get("coin", "bitcoin"))
         if not self.folder:
@@ -161,9 +162,8 @@ class BlockReader(DataSourceReader):
     def read(self, partition: Run):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
 
-        schema = to_arrow_schema(StructType.fromDDL(BLOCK))
+        schema = to_arrow_schema(self.schema)
         rows = []
         for height, raw in self._raw(partition):
             rows.append(read_block(raw, self.coin) | {"height": height})
@@ -219,4 +219,4 @@ class BlockFiles(DataSource):
 
         spark = SparkSession.getActiveSession()
         plain = self.options.get("pushdown", "true" if spark is None else spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
-        return (BlockReader if plain == "true" else UnfilteredBlockReader)(self.options)
+        return (BlockReader if plain == "true" else UnfilteredBlockReader)(self.options, schema)

@@ -28,7 +28,9 @@ def read_blocks(spark: SparkSession, folder: str, coin: Coin, index: str | None
 
 def flatten(blocks: DataFrame, coin: Coin) -> ChainTables:
     """blocks, transactions, tx_in and tx_out of decoded blocks. Scripts are read only where their columns are selected."""
-    heads = blocks.drop("txs", "aux_pow").withColumn("has_auxpow", F.col("aux_pow").isNotNull()) if "aux_pow" in blocks.columns else blocks.drop("txs")
+    heads = blocks.drop("txs")
+    if "aux_pow" in blocks.columns:
+        heads = heads.withColumn("has_auxpow", F.col("aux_pow").isNotNull()).drop("aux_pow")
     txs = blocks.select("height", F.col("block_hash").alias("hash_block"), F.posexplode("txs").alias("tx_index", "tx"))
     flat = txs.select("height", "hash_block", "tx_index", *[F.col(f"tx.{c}").alias(c) for c in ("txid", "version", "lock_time", "in_count", "out_count", "stripped_size")], coinbase(F.col("tx.inputs")).alias("is_coinbase"))
     ins = txs.select("height", "tx_index", F.col("tx.txid").alias("txid"), F.posexplode("tx.inputs").alias("in_index", "i"))
