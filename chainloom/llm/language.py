@@ -197,7 +197,7 @@ def train(docs: DataFrame, doc: str = "doc_id", text: str = "text", limit: int =
     The bound is `limit` documents and FIT_SENTENCES whole sentences of each; more never reach the driver. Without a label
     or whole sentence anywhere the model names no language.
     """
-    labelled = docs.where(F.col("label_code").isNotNull() & F.col(text).isNotNull())
+    labelled = docs.where(F.col("label_code").isNotNull())  # choosing documents needs no text, so none is read for it
     order = F.xxhash64(F.col(doc), F.col("label_code"), F.lit(1))
     chosen = labelled.select(F.col(doc).alias("__doc"), order.alias("__o")).orderBy("__o", "__doc").limit(limit)
     chosen = chosen.select("__doc", "__o").distinct()
@@ -207,7 +207,7 @@ def train(docs: DataFrame, doc: str = "doc_id", text: str = "text", limit: int =
         for batch in batches:
             rows = []
             for code, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                good = [w for a, b, whole in spans(t) if whole and enough(w := letters(t[a:b]))]
+                good = [w for a, b, whole in spans(t or "") if whole and enough(w := letters(t[a:b]))]
                 step = max(1, len(good) // FIT_SENTENCES)
                 rows += [(code, w) for w in good[::step][:FIT_SENTENCES]]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["code", "words"])
