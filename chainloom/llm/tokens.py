@@ -25,11 +25,14 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 # The tokenizer's word pattern, with its white space written out as Java's \s is ASCII only.
 SPACE = r"\t-\r \u0085\p{Z}"
 PATTERN = (
-    rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+"
+    rf"'(?:[stmd]|re|ve|ll)| ?(?:\p{{L}}++|\p{{N}}++|[^{SPACE}\p{{L}}\p{{N}}]++)"
     rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 TIKTOKEN_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
+#: Stands behind each word on its way to the workers, as one long text moves faster than many short ones. A text that holds it goes word by word.
+MARK = "\0"
+
 #: Words of one chunk; a chunk is what one task decodes at a time. A single longer text is a chunk of its own.
 CHUNK_WORDS = 1_000_000
 
@@ -61,32 +64,40 @@ def _cuts(lens: np.ndarray) -> Iterator[tuple[int, int]]:
         yield start, len(lens)
 
 
+def _split(marked: pa.Array, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the words of all texts, their numbers by text); each text ends with an empty word, which doesn't count."""
+    lists = pc.split_pattern(marked, MARK)
+    if words.null_count < len(words):  # some texts hold the mark themselves
+        lists = pa.array([w + [""] if w is not None else m for m, w in zip(lists.to_pylist(), words.to_pylist())], pa.list_(pa.string()))
+    return lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _chunks(batches):
     """Rows of documents and words as chunks: one row with the coded documents, one for each distinct word."""
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 32
+    names = ["chunk", "i", "word", "docs", "lens", "codes"]
     for batch in batches:
-        ids, words = batch.column(0), batch.column(1)
-        lens = pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat, at = words.flatten(), np.append(0, np.cumsum(lens))
+        ids = batch.column(0)
+        flat, lens = _split(batch.column(1), batch.column(2))
+        at = np.append(0, np.cumsum(lens))
         for a, b in _cuts(lens):
             coded = flat.slice(at[a], at[b] - at[a]).dictionary_encode()
-            codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.uint32)
+            codes = np.delete(coded.indices.to_numpy(zero_copy_only=False), at[a + 1 : b + 1] - 1 - at[a]).astype(np.uint32)
             n, found = b - a, len(coded.dictionary)
             row = [
                 pa.array([number], pa.int64()),
                 pa.array([-1], pa.int32()),
                 pa.nulls(1, pa.string()),
                 pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids.slice(a, n)),
-                pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(lens[a:b].astype(np.int32))),
+                pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array((lens[a:b] - 1).astype(np.int32))),
                 pa.array([codes.astype(np.uint16 if found <= 65536 else np.uint32).tobytes()], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(row, names=["chunk", "i", "word", "docs", "lens", "codes"])
-            if found:
-                empty = pa.nulls(found, pa.list_(ids.type)), pa.nulls(found, pa.list_(pa.int32())), pa.nulls(found, pa.binary())
-                row = [pa.array(np.full(found, number)), pa.array(np.arange(found, dtype=np.int32)), coded.dictionary, *empty]
-                yield pa.RecordBatch.from_arrays(row, names=["chunk", "i", "word", "docs", "lens", "codes"])
+            yield pa.RecordBatch.from_arrays(row, names=names)
+            empty = pa.nulls(found, pa.list_(ids.type)), pa.nulls(found, pa.list_(pa.int32())), pa.nulls(found, pa.binary())
+            row = [pa.array(np.full(found, number)), pa.array(np.arange(found, dtype=np.int32)), coded.dictionary, *empty]
+            yield pa.RecordBatch.from_arrays(row, names=names)
             number += 1
 
 
@@ -120,9 +131,12 @@ def _counts(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def _encoded(docs: DataFrame, doc: str, text: str, folder: str, finish, schema: str) -> DataFrame:
-    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PATTERN), F.lit(0))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    holds = F.contains(whole, F.lit(MARK))
+    marked = F.when(~holds, F.regexp_replace(whole, PATTERN, "$0" + MARK)).otherwise(F.lit(""))
+    words = F.when(holds, F.regexp_extract_all(whole, F.lit(PATTERN), F.lit(0)))
     kind = docs.schema[doc].dataType.simpleString()
-    rows = docs.select(F.col(doc).alias("doc"), words.alias("words"))
+    rows = docs.select(F.col(doc).alias("doc"), marked.alias("marked"), words.alias("words"))
     chunks = Saved(rows.mapInArrow(_chunks, f"chunk bigint, i int, word string, docs array<{kind}>, lens array<int>, codes binary"), "chunks")
 
     def encode(batches):
@@ -168,7 +182,10 @@ def decode(encoded: DataFrame, doc: str = "doc_id", ids: str = "ids", folder: st
             lists = pc.if_else(pc.is_valid(lists), lists, pa.scalar([], lists.type))
             texts = pa.ListArray.from_arrays(lists.offsets, pieces.take(lists.values))
             joined = pc.binary_join(texts, b"")
-            text = pa.array([b.decode("utf-8", "replace") for b in joined.to_pylist()], pa.string())
+            try:
+                text = joined.cast(pa.string())
+            except pa.ArrowInvalid:
+                text = pa.array([b.decode("utf-8", "replace") for b in joined.to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), text], names=["doc", "text"])
 
     return encoded.select(F.col(doc).alias("doc"), F.col(ids).alias("ids")).mapInArrow(join, f"doc {kind}, text string").withColumnRenamed("doc", doc)
