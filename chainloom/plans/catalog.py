@@ -140,7 +140,8 @@ live AS (SELECT coin, txid, index_out, height, CAST(value AS DECIMAL(20,0)) AS v
 
 
 def _live(spark, d) -> DataFrame:
-    return utxo.utxo_set(ledger.tx_out(spark, d), ledger.tx_in(spark, d), COIN)
+    _, _, tx_in, tx_out = ledger.all_tables(spark, d)
+    return utxo.utxo_set(tx_out, tx_in, COIN)
 
 
 @query(U + "SELECT * FROM live")
@@ -160,12 +161,14 @@ def balances_nonzero(spark, d):
 
 @query("SELECT a.coin, n_tx, n_inputs, n_outputs, n_addressable FROM (SELECT coin, count(*) AS n_tx FROM t GROUP BY 1) a JOIN (SELECT coin, count(*) AS n_inputs FROM i GROUP BY 1) c USING (coin) JOIN (SELECT coin, count(*) AS n_outputs, count(address) AS n_addressable FROM o GROUP BY 1) e USING (coin)")
 def utxo_counters(spark, d):
-    return utxo.counters(ledger.transactions(spark, d), ledger.tx_in(spark, d), ledger.tx_out(spark, d), COIN)
+    _, txs, tx_in, tx_out = ledger.all_tables(spark, d)
+    return utxo.counters(txs, tx_in, tx_out, COIN)
 
 
 @query("SELECT o.txid, o.index_out, s.h IS NULL AS unspent FROM o LEFT JOIN (SELECT DISTINCT hash_prev_out AS h, index_prev_out AS k FROM i) s ON s.h = o.txid AND s.k = o.index_out")
 def spent_flag(spark, d):
-    return utxo.mark_spent(ledger.tx_out(spark, d), ledger.tx_in(spark, d)).select("txid", "index_out", "unspent")
+    _, _, tx_in, tx_out = ledger.all_tables(spark, d)
+    return utxo.mark_spent(tx_out, tx_in).select("txid", "index_out", "unspent")
 
 
 @query(f"SELECT {ledger.sql_address('address')} AS address, CAST(sum(value) * CAST(0.00000001 AS DECIMAL(9,8)) AS DECIMAL(38,8)) AS balance FROM tx_out WHERE unspent GROUP BY 1", plain=True)
@@ -189,11 +192,12 @@ def base_reward(spark, d):
 @query(f""", c AS (SELECT coin, txid FROM i GROUP BY 1, 2 HAVING count(*) = 1 AND bool_or(hash_prev_out = '{ledger.ZERO}' AND index_prev_out = 4294967295))
 SELECT coin, CAST(sum(greatest(value - (5000000000 >> (height // 210000)::INT), 0)) AS DECIMAL(38,0)) AS total_fee FROM o JOIN c USING (coin, txid) WHERE index_out = 0 GROUP BY coin""")
 def fee_total(spark, d):
-    return stats.fees(ledger.tx_in(spark, d), ledger.tx_out(spark, d), COIN)
+    _, _, tx_in, tx_out = ledger.all_tables(spark, d)
+    return stats.fees(tx_in, tx_out, COIN)
 
 
 def _totals(spark, d):
-    return stats.totals(ledger.blocks(spark, d), ledger.transactions(spark, d), ledger.tx_in(spark, d), ledger.tx_out(spark, d), COIN)
+    return stats.totals(*ledger.all_tables(spark, d), COIN)
 
 
 TOTALS = """, s AS (SELECT a.coin, n_blocks, n_tx, n_inputs, n_outputs, volume FROM (SELECT coin, count(*) AS n_blocks FROM b GROUP BY 1) a JOIN (SELECT coin, count(*) AS n_tx FROM t GROUP BY 1) k USING (coin)
@@ -222,7 +226,7 @@ z AS (SELECT t.coin, t.txid, t.height, t.tx_index, CAST(coalesce(si.w, 0) + coal
 
 
 def _sizes(spark, d):
-    return stats.tx_sizes(ledger.transactions(spark, d), ledger.tx_in(spark, d), ledger.tx_out(spark, d), COIN)
+    return stats.tx_sizes(*ledger.all_tables(spark, d)[1:], COIN)
 
 
 @query(SIZES + "SELECT * FROM z")
@@ -428,7 +432,7 @@ def merkle_root(spark, d):
 
 @query(MERKLE + "SELECT block_hash, height, hash_merkle_root AS expected, merkle_root AS found FROM b JOIN r ON hash_block = block_hash WHERE merkle_root <> hash_merkle_root")
 def merkle_verify(spark, d):
-    return verify.merkle_violations(ledger.blocks(spark, d), ledger.transactions(spark, d))
+    return verify.merkle_violations(*ledger.all_tables(spark, d)[:2])
 
 
 # Sinks and views.
@@ -472,9 +476,10 @@ def view_transactions(spark, d):
 # Raw blocks.
 def _raw_txs(spark, d, witness: bool) -> DataFrame:
     """Each transaction written as its bytes and read again; the lists are those of one transaction."""
-    i = ledger.tx_in(spark, d).groupBy("txid").agg(F.array_sort(F.collect_list(F.struct("in_index", "hash_prev_out", "index_prev_out", F.coalesce("script_sig", F.lit(b"")).alias("script_sig"), F.coalesce("sequence", F.lit(0)).alias("sequence")))).alias("inputs"))
-    o = ledger.tx_out(spark, d).groupBy("txid").agg(F.array_sort(F.collect_list(F.struct("index_out", F.coalesce("value", F.lit(0)).alias("value"), F.coalesce("script_pubkey", F.lit(b"")).alias("script_pubkey")))).alias("outputs"))
-    t = ledger.transactions(spark, d).select("txid", F.coalesce("version", F.lit(1)).alias("version"), F.coalesce("lock_time", F.lit(0)).alias("lock_time")).join(i, "txid").join(o, "txid", "left")
+    _, txs, tx_in, tx_out = ledger.all_tables(spark, d)
+    i = tx_in.groupBy("txid").agg(F.array_sort(F.collect_list(F.struct("in_index", "hash_prev_out", "index_prev_out", F.coalesce("script_sig", F.lit(b"")).alias("script_sig"), F.coalesce("sequence", F.lit(0)).alias("sequence")))).alias("inputs"))
+    o = tx_out.groupBy("txid").agg(F.array_sort(F.collect_list(F.struct("index_out", F.coalesce("value", F.lit(0)).alias("value"), F.coalesce("script_pubkey", F.lit(b"")).alias("script_pubkey")))).alias("outputs"))
+    t = txs.select("txid", F.coalesce("version", F.lit(1)).alias("version"), F.coalesce("lock_time", F.lit(0)).alias("lock_time")).join(i, "txid").join(o, "txid", "left")
 
     def recode(batches):
         for batch in batches:

@@ -16,9 +16,9 @@ ZERO = "0" * 64
 
 
 def _first(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each key: that loaded first. min_by keeps one partial row for each key and map task."""
-    rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col("id")).alias("r")).select(*keys, *[f"r.{c}" for c in rest])
+    """One row for each key: that loaded first. Columns are kept apart, so that those a query doesn't use are pruned."""
+    rest = [F.min("id").alias("id")] + [F.min_by(c, "id").alias(c) for c in rows.columns if c not in (*keys, "id")]
+    return rows.groupBy(*keys).agg(*rest)
 
 
 def _hash(c: str):
@@ -36,32 +36,42 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _first(rows.where("block_hash IS NOT NULL AND coin IS NOT NULL AND height IS NOT NULL"), ["block_hash"])
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transactions(spark: SparkSession, sf_dir: str, heads: DataFrame | None = None) -> DataFrame:
     rows = table(spark, sf_dir, "transactions").where("dropped_at IS NULL")
     rows = rows.select("id", _hash("txid").alias("txid"), _hash("hashblock").alias("hash_block"), "version", F.col("locktime").alias("lock_time"))
     txs = _first(rows.where("txid IS NOT NULL"), ["txid"])
-    heads = blocks(spark, sf_dir).select(F.col("block_hash").alias("hash_block"), "coin", "height")
+    heads = blocks(spark, sf_dir) if heads is None else heads
+    heads = heads.select(F.col("block_hash").alias("hash_block"), "coin", "height")
     return txs.join(heads, "hash_block").withColumnRenamed("id", "tx_index")
 
 
-def tx_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tx_out(spark: SparkSession, sf_dir: str, txs: DataFrame | None = None) -> DataFrame:
     rows = table(spark, sf_dir, "tx_out").where("dropped_at IS NULL")
     rows = rows.select(
         "id", _hash("txid").alias("txid"), F.col("indexout").alias("index_out"), "value", F.col("scriptpubkey").alias("script_pubkey"),
         clean_address(F.col("address")).alias("address"), "unspent", "pattern",
     )
     outs = _first(rows.where("txid IS NOT NULL AND index_out IS NOT NULL"), ["txid", "index_out"])
-    return outs.join(transactions(spark, sf_dir).select("txid", "coin", "height", "tx_index"), "txid")
+    txs = transactions(spark, sf_dir) if txs is None else txs
+    return outs.join(txs.select("txid", "coin", "height", "tx_index"), "txid")
 
 
-def tx_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tx_in(spark: SparkSession, sf_dir: str, txs: DataFrame | None = None) -> DataFrame:
     rows = table(spark, sf_dir, "tx_in").where("dropped_at IS NULL")
     rows = rows.select(
         "id", _hash("txid").alias("txid"), _hash("hashprevout").alias("hash_prev_out"), F.col("indexprevout").alias("index_prev_out"),
         F.col("scriptsig").alias("script_sig"), "sequence",
     )
     ins = _first(rows.where("txid IS NOT NULL AND hash_prev_out IS NOT NULL AND index_prev_out IS NOT NULL"), ["txid", "hash_prev_out", "index_prev_out"])
-    return ins.withColumnRenamed("id", "in_index").join(transactions(spark, sf_dir).select("txid", "coin", "height", "tx_index"), "txid")
+    txs = transactions(spark, sf_dir) if txs is None else txs
+    return ins.withColumnRenamed("id", "in_index").join(txs.select("txid", "coin", "height", "tx_index"), "txid")
+
+
+def all_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(blocks, transactions, tx_in, tx_out), the later ones planned on the former, so that a query of several plans each once."""
+    heads = blocks(spark, sf_dir)
+    txs = transactions(spark, sf_dir, heads)
+    return heads, txs, tx_in(spark, sf_dir, txs), tx_out(spark, sf_dir, txs)
 
 
 def _h(c: str) -> str:
