@@ -30,12 +30,11 @@ PATTERN = (
 )
 TIKTOKEN_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
-# Before a space that isn't inside white space a word always ends, so a text may as well be cut before its spaces, which is much faster. Not so where
-# a space stands between white space, and not where spaces are rare, as in scripts that don't use them: there pieces would seldom repeat.
-INNER_SPACE = rf"[{SPACE}] [{SPACE}]"
-RARE_SPACES = 20
+# Before a space that isn't inside white space a word always ends, so a text may as well be cut before its spaces, which is much
+# faster. Not so where a space stands between white space, and not in scripts written without spaces: there pieces would seldom repeat.
+BY_PATTERN = rf"[{SPACE}] [{SPACE}]|[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF]"
 
-#: Stands behind each word on its way to the workers, as one long text moves faster than many short ones. A text that holds it goes word by word.
+#: Stands between words on their way to the workers, as one long text moves faster than many short ones. A text that holds it goes word by word.
 MARK = "\0"
 
 #: Words of one chunk; a chunk is what one task decodes at a time. A single longer text is a chunk of its own.
@@ -70,10 +69,10 @@ def _cuts(lens: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _split(marked: pa.Array, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """(the words of all texts, their numbers by text); each text ends with an empty word, which doesn't count."""
+    """(the words of all texts, their numbers by text). Empty words may be among them; they have no ids."""
     lists = pc.split_pattern(marked, MARK)
     if words.null_count < len(words):  # some texts hold the mark themselves
-        lists = pa.array([w + [""] if w is not None else m for m, w in zip(lists.to_pylist(), words.to_pylist())], pa.list_(pa.string()))
+        lists = pa.array([m if w is None else w for m, w in zip(lists.to_pylist(), words.to_pylist())], pa.list_(pa.string()))
     return lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
@@ -89,15 +88,15 @@ def _chunks(batches):
         at = np.append(0, np.cumsum(lens))
         for a, b in _cuts(lens):
             coded = flat.slice(at[a], at[b] - at[a]).dictionary_encode()
-            codes = np.delete(coded.indices.to_numpy(zero_copy_only=False), at[a + 1 : b + 1] - 1 - at[a]).astype(np.uint32)
             n, found = b - a, len(coded.dictionary)
+            codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.uint16 if found <= 65536 else np.uint32)
             row = [
                 pa.array([number], pa.int64()),
                 pa.array([-1], pa.int32()),
                 pa.nulls(1, pa.string()),
                 pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids.slice(a, n)),
-                pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array((lens[a:b] - 1).astype(np.int32))),
-                pa.array([codes.astype(np.uint16 if found <= 65536 else np.uint32).tobytes()], pa.binary()),
+                pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(lens[a:b].astype(np.int32))),
+                pa.array([codes.tobytes()], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(row, names=names)
             empty = pa.nulls(found, pa.list_(ids.type)), pa.nulls(found, pa.list_(pa.int32())), pa.nulls(found, pa.binary())
@@ -138,10 +137,8 @@ def _counts(left: pa.Table, right: pa.Table) -> pa.Table:
 def _encoded(docs: DataFrame, doc: str, text: str, folder: str, finish, schema: str) -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     holds = F.contains(whole, F.lit(MARK))
-    spaces = F.length(whole) - F.length(F.replace(whole, F.lit(" "), F.lit("")))
-    spaced = (F.length(whole) <= (spaces + 1) * RARE_SPACES) & ~whole.rlike(INNER_SPACE)
-    at_spaces = F.concat(F.replace(whole, F.lit(" "), F.lit(MARK + " ")), F.lit(MARK))
-    marked = F.when(holds, F.lit("")).when(spaced, at_spaces).otherwise(F.regexp_replace(whole, PATTERN, "$0" + MARK))
+    at_spaces = F.replace(whole, F.lit(" "), F.lit(MARK + " "))
+    marked = F.when(holds, F.lit("")).when(whole.rlike(BY_PATTERN), F.regexp_replace(whole, PATTERN, MARK + "$0")).otherwise(at_spaces)
     words = F.when(holds, F.regexp_extract_all(whole, F.lit(PATTERN), F.lit(0)))
     kind = docs.schema[doc].dataType.simpleString()
     rows = docs.select(F.col(doc).alias("doc"), marked.alias("marked"), words.alias("words"))
