@@ -324,10 +324,10 @@ def script_patterns(spark, d):
     return table(spark, d, "tx_out").select("pattern", read.alias("e")).groupBy("pattern", F.col("e.pattern").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT txid, index_out, address FROM o WHERE coin = 'bitcoin' AND address IS NOT NULL")
+@query("SELECT txid, index_out, address FROM o WHERE coin = 'bitcoin' AND regexp_matches(address, '^(1|3|bc1)')")
 def script_addresses(spark, d):
-    """Addresses read from the scripts of outputs on Bitcoin that have one recorded."""
-    rows = ledger.tx_out(spark, d).where("coin = 'bitcoin' AND address IS NOT NULL")
+    """Addresses read from the scripts of outputs on Bitcoin that have one of Bitcoin's forms recorded."""
+    rows = ledger.tx_out(spark, d).where((F.col("coin") == "bitcoin") & F.col("address").rlike("^(1|3|bc1)"))
     return rows.select("txid", "index_out", scripts.evaluated(F.col("script_pubkey"))["address"].alias("address"))
 
 
