@@ -326,11 +326,20 @@ def script_patterns(spark, d):
 
 @query("SELECT txid, index_out, address FROM o WHERE coin = 'bitcoin' AND regexp_matches(address, '^(1|3|bc1)')")
 def script_addresses(spark, d):
-    """Addresses read from the scripts of outputs on Bitcoin that have one of Bitcoin's forms recorded."""
+    """Addresses read from the scripts of outputs on Bitcoin that have one of Bitcoin's forms recorded; script_addresses_all has every output."""
     rows = ledger.tx_out(spark, d).where((F.col("coin") == "bitcoin") & F.col("address").rlike("^(1|3|bc1)"))
     return rows.select("txid", "index_out", scripts.evaluated(F.col("script_pubkey"))["address"].alias("address"))
 
 
+@query()
+def script_addresses_all(spark, d):
+    """Every output with its recorded address beside that read from its script by the version of its coin; no address is read for an unknown coin."""
+    version = F.create_map(*[F.lit(x) for k, c in COINS.items() for x in (k, c.version_id)])[F.col("coin")]
+    rows = ledger.tx_out(spark, d).withColumn("v", version)
+    read = F.when(F.col("v").isNotNull(), scripts.evaluated(F.col("script_pubkey"), F.coalesce("v", F.lit(0)))["address"])
+    return rows.select("coin", "txid", "index_out", "pattern", F.col("address").alias("recorded"), read.alias("address"))
+
+
 @query()
 def script_other_coins(spark, d):
     """Scripts read as those of a coin with its own address version, for each of them."""
