@@ -59,26 +59,36 @@ def max_height_by_file(index: DataFrame) -> DataFrame:
     return index.groupBy("blk_index").agg(F.max("height").alias("max_height"))
 
 
-def with_heights(blocks: DataFrame, by: Sequence[str] = (), max_rounds: int = 40) -> DataFrame:
-    """The blocks of the longest chain, for each group of `by`, with their heights from the links alone.
+def _jumps(blocks: DataFrame, by: Sequence[str], max_rounds: int) -> list[Saved]:
+    """After r rounds each block b points 2 ** r blocks down: (by..., b, to, n, low), `to` null where that is before the first block of its line.
 
-    Every block points at its predecessor; by doubling, each round makes it point twice as far, until all point before the
-    first block, so 2 ** rounds blocks take that many rounds. Of equally high tips that with the smallest hash counts. Blocks off its line are left out,
-    and the height column is replaced. No blocks give none.
+    n counts the blocks passed and low is the lowest of them, at last the first block of the line.
     """
     own = blocks.select(*by, "block_hash", "hash_prev").distinct()
     known = own.select(F.col("block_hash").alias("hash_prev"), F.lit(True).alias("known"))
+    to = F.when(F.col("known"), F.col("hash_prev"))
     jump = own.join(known, "hash_prev", "left").select(
-        *by, F.col("block_hash").alias("b"), F.when(F.col("known"), F.col("hash_prev")).alias("to"), F.when(F.col("known"), 1).otherwise(0).cast("bigint").alias("n")
+        *by, F.col("block_hash").alias("b"), to.alias("to"), F.when(F.col("known"), 1).otherwise(0).cast("bigint").alias("n"), F.coalesce(to, "block_hash").alias("low")
     )
-    jumps = [Saved(jump, "jump")]  # after r rounds a block points 2 ** r blocks down
+    jumps = [Saved(jump, "jump")]
     while jumps[-1].df.where("to IS NOT NULL").limit(1).count():
         if len(jumps) > max_rounds:
             raise ValueError("the links between blocks form a circle")
         here = jumps[-1].df
-        far = here.select(F.col("b").alias("to"), F.col("to").alias("to2"), F.col("n").alias("n2"))
-        step = here.join(far, "to", "left").select(*by, "b", F.col("to2").alias("to"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"))
+        far = here.select(F.col("b").alias("to"), F.col("to").alias("to2"), F.col("n").alias("n2"), F.col("low").alias("low2"))
+        step = here.join(far, "to", "left").select(*by, "b", F.col("to2").alias("to"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.coalesce("low2", "low").alias("low"))
         jumps.append(Saved(step, "jump"))
+    return jumps
+
+
+def with_heights(blocks: DataFrame, by: Sequence[str] = (), max_rounds: int = 40) -> DataFrame:
+    """The blocks of the longest chain, for each group of `by`, with their heights from the links alone.
+
+    Every block points at its predecessor; by doubling, each round makes it point twice as far, until all point before the
+    first block, so 2 ** rounds blocks take that many rounds. Of equally high tips that with the smallest hash counts. Blocks off its line are left out,
+    and the height column is replaced. No blocks give none. lines() keeps all blocks.
+    """
+    jumps = _jumps(blocks, by, max_rounds)
     heights = jumps[-1].df.select(*by, F.col("b").alias("block_hash"), F.col("n").alias("height"))
     rank = F.row_number().over((W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy(F.desc("height"), "block_hash"))
     line = heights.withColumn("k", rank).where("k = 1").select(F.col("block_hash").alias("b"))
@@ -89,6 +99,15 @@ def with_heights(blocks: DataFrame, by: Sequence[str] = (), max_rounds: int = 40
     return blocks.drop("height").join(found, "block_hash")
 
 
+def lines(blocks: DataFrame, by: Sequence[str] = (), max_rounds: int = 40) -> DataFrame:
+    """(by..., block_hash, base, above) of every block: the first block of its unbroken line, and how many blocks above that it stands.
+
+    A line begins at each block whose predecessor isn't there, so blocks behind a missing one have a line of their own.
+    """
+    last = _jumps(blocks, by, max_rounds)[-1].df
+    return last.select(*by, F.col("b").alias("block_hash"), F.col("low").alias("base"), F.col("n").alias("above"))
+
+
 def linked(blocks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Each block beside the hash of the block one height below: a self-join on height, without a global sort."""
     below = blocks.select(*[F.col(c).alias(c) for c in by], (F.col("height") + 1).alias("height"), F.col("block_hash").alias("hash_below"), F.col("n_time").alias("time_below"))

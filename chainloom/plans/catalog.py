@@ -10,7 +10,7 @@ from chainloom.coins import COINS, coin
 from chainloom.functions import codec, exprs, scripts
 from chainloom.operators import heights, stats, utxo, verify, views
 from chainloom.plans import ledger
-from chainloom.session import table
+from chainloom.session import Saved, table
 from chainloom.sinks import csv_line
 
 COIN = ["coin"]
@@ -71,13 +71,26 @@ def height_gap_stop(spark, d):
     return heights.until_gap(ledger.blocks(spark, d), 250_000, COIN).select("coin", "height", "block_hash")
 
 
+def _derived(spark, d) -> DataFrame:
+    """(coin, block_hash, height, base, derived) of every block; base and derived are null for a block that no line has."""
+    rows = Saved(ledger.blocks(spark, d).select("coin", "block_hash", "hash_prev", "height"), "blocks").df
+    low = rows.select(F.col("block_hash").alias("base"), F.col("height").alias("low"))
+    found = heights.lines(rows, COIN).join(low, "base").select("block_hash", "base", (F.col("low") + F.col("above")).alias("derived"))
+    return rows.join(found, "block_hash", "left").select("coin", "block_hash", "height", "base", "derived")
+
+
 @query("SELECT coin, height, height AS derived FROM b WHERE false")
 def derived_heights(spark, d):
-    """Heights from links alone differ from the recorded ones nowhere, once the lowest block of the line is given its own."""
-    line = heights.with_heights(ledger.blocks(spark, d).withColumn("recorded", F.col("height")), COIN)
-    low = line.groupBy("coin").agg(F.min(F.col("recorded") - F.col("height")).alias("low"))
-    odd = line.join(low, "coin").where("recorded - height <> low")
-    return odd.select("coin", F.col("recorded").alias("height"), (F.col("height") + F.col("low")).alias("derived"))
+    """Blocks whose height from links alone isn't the recorded one, or that have none, once the lowest block of each unbroken line is given its own: there are none."""
+    return _derived(spark, d).where("NOT height <=> derived").select("coin", "height", "derived")
+
+
+@query(""", w AS (SELECT block_hash, block_hash AS base, height AS derived FROM b WHERE NOT EXISTS (SELECT 1 FROM b p WHERE p.block_hash = b.hash_prev)
+  UNION ALL SELECT n.block_hash, w.base, w.derived + 1 FROM w JOIN b n ON n.hash_prev = w.block_hash)
+SELECT coin, block_hash, height, base, derived FROM b JOIN w USING (block_hash)""")
+def derived_heights_all(spark, d):
+    """Every block with its recorded height, the first block of its unbroken line, and the height that the links give it from there."""
+    return _derived(spark, d)
 
 
 # The index.

@@ -4,6 +4,7 @@ from compare import duck
 
 from chainloom.coins import COINS
 from chainloom.functions.scripts import base58check
+from chainloom.operators import heights
 from chainloom.plans import catalog, ledger
 
 
@@ -21,3 +22,23 @@ def test_addresses_of_every_output(spark, small):
             differ += recorded is not None and recorded != r.address
     assert coins == {"bitcoin", "litecoin", "dogecoin"}
     assert differ  # a prefix filter on both sides would hide these
+
+
+def test_every_block_has_a_height(spark, small):
+    got = {r.block_hash: r for r in catalog.derived_heights_all(spark, small).collect()}
+    rows = {h: (coin, prev, height) for coin, h, prev, height in duck(small).execute(ledger.SQL + "SELECT coin, block_hash, hash_prev, height FROM b").fetchall()}
+    assert set(got) == set(rows) and len({r.base for r in got.values()}) > 3
+    for h, (coin, prev, height) in rows.items():
+        base, above = h, 0
+        while rows[base][1] in rows:
+            base, above = rows[base][1], above + 1
+        assert (got[h].coin, got[h].height, got[h].base, got[h].derived) == (coin, height, base, rows[base][2] + above)
+
+
+def test_lost_and_wrong_heights_show(spark, small, monkeypatch):
+    assert catalog.derived_heights(spark, small).count() == 0
+    whole, n = heights.lines, ledger.blocks(spark, small).count()
+    monkeypatch.setattr(heights, "lines", lambda *a: whole(*a).where("false"))
+    assert catalog.derived_heights(spark, small).count() == n
+    monkeypatch.setattr(heights, "lines", lambda *a: whole(*a).where("above > 0"))
+    assert 0 < catalog.derived_heights(spark, small).count() < n
