@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import partial
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,8 +53,8 @@ def chain_tx_out(spark, d):
 
 
 @query("SELECT coin, height, txid, hash_prev_out, index_prev_out, lower(hex(script_sig)) AS script, sequence FROM i")
-def chain_tx_in(spark, d):
-    return ledger.tx_in(spark, d).select("coin", "height", "txid", "hash_prev_out", "index_prev_out", exprs.to_hex(F.col("script_sig")).alias("script"), "sequence")
+def chain_tx_in(spark, d, whole=False):
+    return ledger.tx_in(spark, d, whole=whole).select("coin", "height", "txid", "hash_prev_out", "index_prev_out", exprs.to_hex(F.col("script_sig")).alias("script"), "sequence")
 
 
 # Heights.
@@ -173,8 +176,8 @@ def balances_nonzero(spark, d):
 
 
 @query("SELECT a.coin, n_tx, n_inputs, n_outputs, n_addressable FROM (SELECT coin, count(*) AS n_tx FROM t GROUP BY 1) a JOIN (SELECT coin, count(*) AS n_inputs FROM i GROUP BY 1) c USING (coin) JOIN (SELECT coin, count(*) AS n_outputs, count(address) AS n_addressable FROM o GROUP BY 1) e USING (coin)")
-def utxo_counters(spark, d):
-    _, txs, tx_in, tx_out = ledger.all_tables(spark, d)
+def utxo_counters(spark, d, whole=False):
+    _, txs, tx_in, tx_out = ledger.all_tables(spark, d, whole)
     return utxo.counters(txs, tx_in, tx_out, COIN)
 
 
@@ -209,8 +212,8 @@ def fee_total(spark, d):
     return stats.fees(tx_in, tx_out, COIN)
 
 
-def _totals(spark, d):
-    return stats.totals(*ledger.all_tables(spark, d), COIN)
+def _totals(spark, d, whole=False):
+    return stats.totals(*ledger.all_tables(spark, d, whole), COIN)
 
 
 TOTALS = """, s AS (SELECT a.coin, n_blocks, n_tx, n_inputs, n_outputs, volume FROM (SELECT coin, count(*) AS n_blocks FROM b GROUP BY 1) a JOIN (SELECT coin, count(*) AS n_tx FROM t GROUP BY 1) k USING (coin)
@@ -219,13 +222,13 @@ TOTALS = """, s AS (SELECT a.coin, n_blocks, n_tx, n_inputs, n_outputs, volume F
 
 
 @query(TOTALS + "SELECT * FROM s")
-def stats_totals(spark, d):
-    return _totals(spark, d)
+def stats_totals(spark, d, whole=False):
+    return _totals(spark, d, whole)
 
 
 @query(TOTALS + "SELECT coin, round(n_tx::DOUBLE / n_blocks, 6) AS txs_per_block, round(n_inputs::DOUBLE / n_tx, 6) AS inputs_per_tx, round(n_outputs::DOUBLE / n_tx, 6) AS outputs_per_tx, round(volume::DOUBLE / n_outputs * 1e-8, 6) AS value_per_output FROM s")
-def stats_ratios(spark, d):
-    r = stats.ratios(_totals(spark, d), COIN)
+def stats_ratios(spark, d, whole=False):
+    r = stats.ratios(_totals(spark, d, whole), COIN)
     return r.select("coin", *[F.round(c, 6).alias(c) for c in r.columns if c != "coin"])
 
 
@@ -238,13 +241,13 @@ z AS (SELECT t.coin, t.txid, t.height, t.tx_index, CAST(coalesce(si.w, 0) + coal
 """
 
 
-def _sizes(spark, d):
-    return stats.tx_sizes(*ledger.all_tables(spark, d)[1:], COIN)
+def _sizes(spark, d, whole=False):
+    return stats.tx_sizes(*ledger.all_tables(spark, d, whole)[1:], COIN)
 
 
 @query(SIZES + "SELECT * FROM z")
-def tx_sizes(spark, d):
-    return _sizes(spark, d)
+def tx_sizes(spark, d, whole=False):
+    return _sizes(spark, d, whole)
 
 
 def _biggest_sql(measure: str) -> str:
@@ -257,8 +260,8 @@ def biggest_value_tx(spark, d):
 
 
 @query(_biggest_sql("stripped_size"))
-def biggest_size_tx(spark, d):
-    return stats.biggest(_sizes(spark, d), "stripped_size", COIN)
+def biggest_size_tx(spark, d, whole=False):
+    return stats.biggest(_sizes(spark, d, whole), "stripped_size", COIN)
 
 
 @query("SELECT coin, pattern, count(*) AS n FROM o GROUP BY ALL")
@@ -476,8 +479,8 @@ def csv_tx_line(spark, d):
 
 
 @query(f"SELECT {_line('txid|hash_prev_out|index_prev_out|lower(hex(script_sig))|sequence')} AS line FROM i")
-def csv_in_line(spark, d):
-    return csv_line(ledger.tx_in(spark, d), "tx_in")
+def csv_in_line(spark, d, whole=False):
+    return csv_line(ledger.tx_in(spark, d, whole=whole), "tx_in")
 
 
 @query(f"SELECT {_line('txid|index_out|value|lower(hex(script_pubkey))|address')} AS line FROM o")
@@ -496,24 +499,28 @@ def view_transactions(spark, d):
 
 
 # Raw blocks.
-def _raw_txs(spark, d, witness: bool) -> DataFrame:
-    """Each transaction written as its bytes and read again; the lists are those of one transaction."""
-    _, txs, tx_in, tx_out = ledger.all_tables(spark, d)
+def _raw_txs(spark, d, witness: bool, whole: bool = False) -> DataFrame:
+    """Each transaction written as its bytes and read again; the lists are those of one transaction. A missing outpoint is written as zeros and read as none."""
+    _, txs, tx_in, tx_out = ledger.all_tables(spark, d, whole)
     i = tx_in.groupBy("txid").agg(F.array_sort(F.collect_list(F.struct("in_index", "hash_prev_out", "index_prev_out", F.coalesce("script_sig", F.lit(b"")).alias("script_sig"), F.coalesce("sequence", F.lit(0)).alias("sequence")))).alias("inputs"))
     o = tx_out.groupBy("txid").agg(F.array_sort(F.collect_list(F.struct("index_out", F.coalesce("value", F.lit(0)).alias("value"), F.coalesce("script_pubkey", F.lit(b"")).alias("script_pubkey")))).alias("outputs"))
     t = txs.select("txid", F.coalesce("version", F.lit(1)).alias("version"), F.coalesce("lock_time", F.lit(0)).alias("lock_time")).join(i, "txid").join(o, "txid", "left")
 
     def recode(batches):
         for batch in batches:
-            ids, back = batch.column("txid"), []
+            ids, back, lost = batch.column("txid"), [], []
             for row in batch.to_pylist():
                 row["outputs"] = row["outputs"] or []
+                lost.append(row["inputs"][-1]["hash_prev_out"] is None)
+                for x in row["inputs"]:
+                    x["hash_prev_out"] = x["hash_prev_out"] or ledger.ZERO
+                    x["index_prev_out"] = x["index_prev_out"] or 0
                 raw = codec.write_tx(row, [[b"\1" * 71, b""] for _ in row["inputs"]] if witness else None)
                 tx, end = codec.read_tx(raw)
                 assert end == len(raw)
                 back.append(tx)
             cols = [pa.array([f(x) for x in back], pa.int64()) for f in (lambda x: x["in_count"], lambda x: x["out_count"], lambda x: x["stripped_size"], lambda x: x["lock_time"], lambda x: x["version"])]
-            last = pa.array([x["inputs"][-1]["hash_prev_out"] for x in back], pa.string())
+            last = pa.array([None if gone else x["inputs"][-1]["hash_prev_out"] for x, gone in zip(back, lost)], pa.string())
             yield pa.RecordBatch.from_arrays([ids, *cols, last], names=["txid", "in_count", "out_count", "stripped_size", "lock_time", "version", "last_prev_out"])
 
     return t.mapInArrow(recode, "txid string, in_count bigint, out_count bigint, stripped_size bigint, lock_time bigint, version bigint, last_prev_out string")
@@ -524,14 +531,22 @@ FROM t JOIN si USING (coin, txid) LEFT JOIN so USING (coin, txid) JOIN z USING (
 
 
 @query(RAW)
-def tx_decode(spark, d):
-    return _raw_txs(spark, d, witness=False)
+def tx_decode(spark, d, whole=False):
+    return _raw_txs(spark, d, False, whole)
 
 
 @query(RAW)
-def segwit_decode(spark, d):
+def segwit_decode(spark, d, whole=False):
     """The same through the witness form, which must not change sizes."""
-    return _raw_txs(spark, d, witness=True)
+    return _raw_txs(spark, d, True, whole)
+
+
+# Those whose SQL leaves out the inputs that name no outpoint, over all existing inputs.
+WHOLE = ["chain_tx_in", "csv_in_line", "utxo_counters", "stats_totals", "stats_ratios", "tx_sizes", "biggest_size_tx", "tx_decode", "segwit_decode"]
+for _name in WHOLE:
+    QUERIES[f"{_name}_whole"] = partial(QUERIES[_name], whole=True)
+    _own = re.sub(r"\bFROM i\b", "FROM j", SQL[_name].removeprefix(ledger.SQL))
+    SQL[f"{_name}_whole"] = ledger.WHOLE_SQL + _own.replace("arg_max(", "arg_max_null(")
 
 
 def queries() -> dict:

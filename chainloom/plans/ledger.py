@@ -56,22 +56,29 @@ def tx_out(spark: SparkSession, sf_dir: str, txs: DataFrame | None = None) -> Da
     return outs.join(txs.select("txid", "coin", "height", "tx_index"), "txid")
 
 
-def tx_in(spark: SparkSession, sf_dir: str, txs: DataFrame | None = None) -> DataFrame:
+def tx_in(spark: SparkSession, sf_dir: str, txs: DataFrame | None = None, whole: bool = False) -> DataFrame:
+    """Inputs that name an outpoint; if `whole` the others too, each kept apart by id."""
     rows = table(spark, sf_dir, "tx_in").where("dropped_at IS NULL")
     rows = rows.select(
         "id", _hash("txid").alias("txid"), _hash("hashprevout").alias("hash_prev_out"), F.col("indexprevout").alias("index_prev_out"),
         F.col("scriptsig").alias("script_sig"), "sequence",
     )
-    ins = _first(rows.where("txid IS NOT NULL AND hash_prev_out IS NOT NULL AND index_prev_out IS NOT NULL"), ["txid", "hash_prev_out", "index_prev_out"])
+    outpoint = "hash_prev_out IS NOT NULL AND index_prev_out IS NOT NULL"
+    keys = ["txid", "hash_prev_out", "index_prev_out"]
+    if whole:
+        lone = rows.where("txid IS NOT NULL").withColumn("lone", F.when(~F.expr(outpoint), F.col("id")))
+        ins = _first(lone, [*keys, "lone"]).drop("lone")
+    else:
+        ins = _first(rows.where(f"txid IS NOT NULL AND {outpoint}"), keys)
     txs = transactions(spark, sf_dir) if txs is None else txs
     return ins.withColumnRenamed("id", "in_index").join(txs.select("txid", "coin", "height", "tx_index"), "txid")
 
 
-def all_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def all_tables(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(blocks, transactions, tx_in, tx_out), the later ones planned on the former, so that a query of several plans each once."""
     heads = blocks(spark, sf_dir)
     txs = transactions(spark, sf_dir, heads)
-    return heads, txs, tx_in(spark, sf_dir, txs), tx_out(spark, sf_dir, txs)
+    return heads, txs, tx_in(spark, sf_dir, txs, whole), tx_out(spark, sf_dir, txs)
 
 
 def _h(c: str) -> str:
@@ -104,3 +111,12 @@ i AS (
     FROM tx_in WHERE dropped_at IS NULL AND {_h("txid")} IS NOT NULL AND {_h("hashprevout")} IS NOT NULL AND indexprevout IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY {_h("txid")}, {_h("hashprevout")}, indexprevout ORDER BY id) = 1) x JOIN t USING (txid))
 """
+
+#: With the inputs as j, those that name no outpoint too.
+WHOLE_SQL = f"""{SQL.rstrip()},
+j AS (
+  SELECT x.*, t.coin, t.height, t.tx_index FROM (
+    SELECT id AS in_index, {_h("txid")} AS txid, {_h("hashprevout")} AS hash_prev_out, indexprevout AS index_prev_out, scriptsig AS script_sig, sequence
+    FROM tx_in WHERE dropped_at IS NULL AND {_h("txid")} IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY {_h("txid")}, {_h("hashprevout")}, indexprevout, CASE WHEN {_h("hashprevout")} IS NULL OR indexprevout IS NULL THEN id END ORDER BY id) = 1) x JOIN t USING (txid))
+"""

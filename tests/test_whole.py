@@ -42,3 +42,15 @@ def test_lost_and_wrong_heights_show(spark, small, monkeypatch):
     assert catalog.derived_heights(spark, small).count() == n
     monkeypatch.setattr(heights, "lines", lambda *a: whole(*a).where("above > 0"))
     assert 0 < catalog.derived_heights(spark, small).count() < n
+
+
+def test_inputs_without_outpoint_are_kept(spark, small):
+    txids = [r[0] for r in duck(small).execute(ledger.SQL + f"SELECT t.txid FROM t JOIN tx_in x ON {ledger._h('x.txid')} = t.txid WHERE x.dropped_at IS NULL AND (x.hashprevout IS NULL OR x.indexprevout IS NULL)").fetchall()]
+    assert txids
+    whole = catalog.QUERIES["chain_tx_in_whole"](spark, small)
+    assert sorted(r.txid for r in whole.where("hash_prev_out IS NULL OR index_prev_out IS NULL").collect()) == sorted(txids)
+    assert whole.count() == catalog.chain_tx_in(spark, small).count() + len(txids)
+    sizes = {r.txid: r.stripped_size for r in catalog.QUERIES["tx_sizes_whole"](spark, small).collect()}
+    for name in ("tx_decode_whole", "segwit_decode_whole"):
+        read = {r.txid: r for r in catalog.QUERIES[name](spark, small).collect()}
+        assert set(txids) <= set(read) and all(r.stripped_size == sizes[t] for t, r in read.items())
