@@ -85,7 +85,7 @@ def mix(sizes: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
     bucket = docs.groupBy("source", "pass", "b").agg(F.sum("n_tokens").alias("s"), F.first("line").alias("line"))
     before = W.partitionBy("source", "pass").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
     bucket = bucket.select(F.col("source").alias("s1"), F.col("pass").alias("p1"), F.col("b").alias("b1"), (F.coalesce(F.sum("s").over(before), F.lit(0)) + (F.col("pass") - 1) * F.col("line")).alias("offset"))
-    within = W.partitionBy("source", "pass", "b").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy("source", "pass", "b").orderBy("h", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, 0)
     lined = docs.withColumn("run", F.sum("n_tokens").over(within))
     lined = lined.join(bucket, (F.col("source") == F.col("s1")) & (F.col("pass") == F.col("p1")) & (F.col("b") == F.col("b1")))
     lined = lined.withColumn("finish", (F.col("offset") + F.col("run")) / F.col("target_share")).where(F.col("finish") <= end)
@@ -96,7 +96,7 @@ def mix(sizes: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
     total = timed.groupBy("slot").agg(F.sum("n_tokens").alias("s"))
     earlier = W.partitionBy(F.lit(0)).orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
     total = total.select(F.col("slot").alias("s1"), F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("offset"))
-    inside = W.partitionBy("slot").orderBy("finish", "source", "pass", "h", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("slot").orderBy("finish", "source", "pass", "h", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, 0)
     merged = timed.withColumn("run", F.sum("n_tokens").over(inside)).join(total, F.col("slot") == F.col("s1"))
     merged = merged.withColumn("end_token", F.col("offset") + F.col("run")).where(F.col("end_token") <= most)
     records = merged.select("doc_id", "source", F.col("pass").cast("int").alias("pass"), "n_tokens", "finish", "end_token")

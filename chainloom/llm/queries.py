@@ -146,8 +146,8 @@ P6_DECODED = "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_byt
 
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
-    named = docs.select("doc_id", clean_name(F.col("source")).alias("source"))
-    sizes = token_counts(docs).join(named, "doc_id").select("doc_id", "source", "n_tokens")
+    named = docs.select(F.struct("doc_id", clean_name(F.col("source")).alias("source")).alias("doc"), "text")  # kept by row: doc_id may be null or repeated
+    sizes = token_counts(named, doc="doc").select("doc.doc_id", "doc.source", "n_tokens")
     return mix(Saved(sizes, "sizes").df, table(spark, sf_dir, "mix_targets"))
 
 
