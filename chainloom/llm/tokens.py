@@ -1,7 +1,9 @@
-"""Encoding a corpus with a public byte-level BPE, each distinct word once.
+"""Encoding a corpus with a public byte-level BPE, each distinct piece of text once.
 
-Texts are split into words by the tokenizer's own pattern in Spark. A chunk of documents keeps its words as positions in the
-chunk's list of distinct words; those lists are small beside the texts, and only they are shuffled to find the corpus'
+Spark cuts texts before their spaces, and only those that BY_PATTERN matches (or that hold MARK) into words by the tokenizer's own
+pattern, which the tokenizer applies again within each piece. So 'word' and 'word,' are pieces of their own, and a text without spaces that
+BY_PATTERN doesn't match, such as values between tabs, is one piece. The pieces are called words below. A chunk of documents keeps its words as positions in the
+chunk's list of distinct words; those lists are small beside the texts where pieces repeat, and only they are shuffled to find the corpus'
 distinct words, encode each once, and bring the ids back. A word that stands everywhere costs one row for each chunk.
 """
 
