@@ -1,12 +1,9 @@
 """Queries that give whole results, compared row by row with the tables."""
 
-from collections import Counter
-
 from compare import duck
 
 from chainloom.coins import COINS
 from chainloom.functions.scripts import base58check
-from chainloom.llm import queries
 from chainloom.operators import heights
 from chainloom.plans import catalog, ledger
 
@@ -57,14 +54,3 @@ def test_inputs_without_outpoint_are_kept(spark, small):
     for name in ("tx_decode_whole", "segwit_decode_whole"):
         read = {r.txid: r for r in catalog.QUERIES[name](spark, small).collect()}
         assert set(txids) <= set(read) and all(r.stripped_size == sizes[t] for t, r in read.items())
-
-
-def test_mixture_of_null_and_repeated_ids(spark, tmp_path):
-    ids = [None, None, 1, 1, 1, 2, 3]
-    docs = spark.createDataFrame([(i, f"text number {k} of the source", " A " if k % 2 else "a") for k, i in enumerate(ids)], "doc_id bigint, text string, source string")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
-    got = Counter((r.doc_id, r["pass"]) for r in queries.p7_mix(spark, str(tmp_path)).collect())
-    assert got == Counter((i, p) for i in ids for p in (1, 2))
-    shares = queries.p7_shares(spark, str(tmp_path)).collect()
-    assert [(r.n_docs, r.n_records, r.actual_share) for r in shares] == [(7, 14, 1.0)]
