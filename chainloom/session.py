@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Above this many rows a table is never hinted as a broadcast side.
-BROADCAST_ROWS = 200_000
+#: A table is hinted as a broadcast side only if its rows, as Spark keeps them in memory, were counted to take at most this many bytes.
+BROADCAST_BYTES = 16 << 20
 
 
 def build_session(app: str = "chainloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,10 +31,14 @@ def build_session(app: str = "chainloom", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: the cluster's spark.checkpoint.dir where it is set.
 
-    Only a session without that setting, such as one of the tests, gets a folder of its own.
+    Only a local session without that setting, such as one of the tests, gets a folder of its own. On a cluster a folder of one machine
+    would not be seen by the others, so there its absence is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         where = "file://" + tempfile.mkdtemp(prefix="chainloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -45,6 +49,12 @@ def _path(spark: SparkSession, where: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
+def delete_on_exit(spark: SparkSession, where: str) -> None:
+    """Deletes a folder when the driver ends."""
+    fs, path = _path(spark, where)
+    fs.deleteOnExit(path)
+
+
 class Saved:
     """A table written once in the shared folder; reading it never recomputes its lineage.
 
@@ -58,8 +68,7 @@ class Saved:
             df = df.coalesce(partitions)
         self.schema = df.schema
         df.write.option("compression", "zstd").parquet(self.where)
-        fs, path = _path(self.spark, self.where)
-        fs.deleteOnExit(path)
+        delete_on_exit(self.spark, self.where)
 
     @property
     def df(self) -> DataFrame:
@@ -74,12 +83,33 @@ class Saved:
         fs.delete(path, True)
 
 
-def small_side(saved: Saved, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The saved table, as a broadcast side if its counted rows are within `limit`.
+#: Bytes of a row beside its fields, and of a field of fixed width or the pointer of another, in a broadcast hash table.
+ROW_BYTES, FIELD_BYTES = 48, 8
 
-    Beyond it the table comes back without a hint, so that Catalyst shuffles the join.
+
+def fits(saved: Saved, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of a saved table take at most `limit` bytes in memory.
+
+    The rows are counted from the file footers; only if their fixed part fits are the lengths of texts and bytes added up.
+    """
+    df = saved.df
+    fixed = saved.count() * (ROW_BYTES + FIELD_BYTES * len(df.columns))
+    if fixed > limit:
+        return False
+    wide = [F.sum(F.octet_length(c) + FIELD_BYTES) for c, kind in df.dtypes if kind in ("string", "binary")]
+    if any(kind.startswith(("array", "map", "struct")) for _, kind in df.dtypes):
+        return False
+    if wide:
+        fixed += sum(x or 0 for x in df.agg(*wide).first())
+    return fixed <= limit
+
+
+def small_side(saved: Saved, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The saved table, as a broadcast side if it fits within `limit` bytes.
+
+    Beyond it the table comes back without a hint, so that Catalyst shuffles the join. The rows of the result are the same.
     """
-    return F.broadcast(saved.df) if saved.count() <= limit else saved.df
+    return F.broadcast(saved.df) if fits(saved, limit) else saved.df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
