@@ -25,16 +25,39 @@ def real_hash(col: Column) -> Column:
 
 
 def hash_bytes(h: Column) -> Column:
-    """The 32 bytes of a cleaned hash; of other text its UTF-8 bytes behind a question mark, null for null and empty."""
-    return F.when(F.length(h) == 64, F.coalesce(F.unhex(h), F.encode(F.concat(F.lit("?"), h), "UTF-8"))).when(
-        F.length(h) > 0, F.encode(F.concat(F.lit("?"), h), "UTF-8")
-    )
+    """The 32 bytes of a cleaned hash; of other text its UTF-8 bytes behind a sign, so that they are never 32; null for null and empty."""
+    text = F.encode(F.concat(F.when(F.octet_length(h) == 31, F.lit("!!")).otherwise(F.lit("?")), h), "UTF-8")
+    return F.when(F.length(h) == 64, F.coalesce(F.unhex(h), text)).when(F.length(h) > 0, text)
+
+
+def hash_of(col: Column) -> Column:
+    """hash_bytes of a hash as it stands. 64 hex digits, as nearly all hashes are, need no cleaning."""
+    return F.coalesce(F.when(F.octet_length(col) == 64, F.unhex(col)), hash_bytes(clean_hash(col)))
+
+
+def real_hash_of(col: Column) -> Column:
+    """hash_of, with null also for the all-zero hash, which refers to nothing."""
+    return F.coalesce(F.when((F.octet_length(col) == 64) & (col != ZERO_HASH), F.unhex(col)), hash_bytes(real_hash(col)))
+
+
+def hash_text(b: Column) -> Column:
+    """The cleaned text that hash_bytes had."""
+    rest = F.when(F.substring(b, 1, 2) == F.lit(b"!!"), F.substring(b, 3, 1 << 30)).otherwise(F.substring(b, 2, 1 << 30))
+    return F.when(F.octet_length(b) == 32, F.lower(F.hex(b))).otherwise(rest.cast("string"))
 
 
 def clean_address(col: Column) -> Column:
-    """An address without blanks, bc1 forms in lower case; null where there is none."""
-    a = F.regexp_extract_all(col, F.lit(r"(?s)^[ \t\r\n]*(\S(?:.*\S)?)[ \t\r\n]*$"), F.lit(1))
-    return F.get(F.transform(a, lambda x: F.when(F.lower(F.substring(x, 1, 3)) == "bc1", F.lower(x)).otherwise(x)), 0)
+    """An address without blanks, bc1 forms in lower case; null where there is none.
+
+    Few addresses have blanks other than spaces around them; only those take the slower way.
+    """
+    t = F.trim(col)
+    odd = [f(F.lit(x)) for x in "\t\r\n" for f in (t.startswith, t.endswith)]
+    some = odd[0]
+    for x in odd[1:]:
+        some = some | x
+    t = F.when(some, F.btrim(col, F.lit(BLANKS))).otherwise(t)
+    return F.nullif(F.when(F.lower(F.substring(t, 1, 3)) == "bc1", F.lower(t)).otherwise(t), F.lit(""))
 
 
 def clean_name(col: Column) -> Column:

@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chainloom.functions.normalise import hash_bytes
-from chainloom.session import BROADCAST_ROWS, Saved, small_side
+from chainloom.session import BROADCAST_BYTES, Saved, small_side
 
 #: Runs are cut at multiples of 2 ** BLOCK_BITS, so that the match of a key needs no other block than its own.
 BLOCK_BITS = 20
@@ -23,8 +22,8 @@ KEY = ["p", "n"]
 
 
 def hash_key(df: DataFrame, hash_col: Column, *keep: Column) -> DataFrame:
-    """(p, n, keep...) of a cleaned hash; what isn't 64 hex digits is a prefix of its own with integer -1."""
-    df = df.select(hash_col.alias("__h"), *keep).withColumn("__h", hash_bytes(F.col("__h")))
+    """(p, n, keep...) of the bytes of a hash; what hasn't 32 bytes is a prefix of its own with integer -1."""
+    df = df.select(hash_col.alias("__h"), *keep)
     whole = F.length("__h") == 32
     n = F.when(whole, F.conv(F.hex(F.substring("__h", 27, 6)), 16, 10).cast("bigint")).otherwise(F.lit(-1).cast("bigint"))
     return df.withColumn("p", F.when(whole, F.substring("__h", 1, 26)).otherwise(F.col("__h"))).withColumn("n", n).drop("__h")
@@ -32,7 +31,7 @@ def hash_key(df: DataFrame, hash_col: Column, *keep: Column) -> DataFrame:
 
 def outpoint_key(df: DataFrame, hash_col: Column, index: Column, *keep: Column) -> DataFrame:
     """(p, n, keep...) of an outpoint; a null index gives a null integer, which matches no run."""
-    return df.select(hash_col.alias("p"), index.cast("bigint").alias("n"), *keep).withColumn("p", hash_bytes(F.col("p")))
+    return df.select(hash_col.alias("p"), index.cast("bigint").alias("n"), *keep)
 
 
 def _block(n: str = "n") -> Column:
@@ -63,11 +62,11 @@ def missing_keys(parents: DataFrame, references: DataFrame) -> DataFrame:
     return found.where(F.col("end").isNull() | F.col("at").isNull() | (F.col("at") > F.col("end"))).select("p", F.col("at").alias("n"))
 
 
-def orphans(parents: DataFrame, references: DataFrame, keep: Sequence[str], name: str = "orphans", limit: int = BROADCAST_ROWS) -> DataFrame:
+def orphans(parents: DataFrame, references: DataFrame, keep: Sequence[str], name: str = "orphans", limit: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of `references` whose key (p, n) is missing from `parents`, with the columns `keep`.
 
     Every reference row comes out once for itself, repeated ones too. The distinct missing keys are written to the
-    shared folder; they are broadcast back only if at most `limit` were counted, and else joined by shuffle, where AQE
+    shared folder; they are broadcast back only if they take at most `limit` bytes, and else joined by shuffle, where AQE
     splits a key that many rows share. No parents: every reference is an orphan; no references: no rows.
     """
     missing = Saved(missing_keys(parents, references), name)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from chainloom.functions.normalise import (
     clean_address,
-    clean_hash,
-    real_hash,
+    hash_of,
+    real_hash_of,
     sql_address,
     sql_hash,
     sql_real_hash,
@@ -43,7 +43,7 @@ def p2_address_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     index stay apart by id. A null value counts as an output but adds nothing.
     """
     rows = table(spark, sf_dir, "tx_out").where("dropped_at IS NULL").select(
-        F.coalesce(F.nullif(clean_hash(F.col("txid")), F.lit("")), F.concat(F.lit("#"), F.col("id"))).alias("txid"),
+        F.coalesce(hash_of(F.col("txid")), F.encode(F.concat(F.lit("#"), F.col("id")), "UTF-8")).alias("txid"),
         F.coalesce(F.col("indexout"), F.col("id")).alias("indexout"),
         clean_address(F.col("address")).alias("address"),
         "value",
@@ -75,7 +75,7 @@ def p5_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     output index names no output and is an orphan.
     """
     txs, outs, ins, blocks = (table(spark, sf_dir, t).where("dropped_at IS NULL") for t in ("transactions", "tx_out", "tx_in", "blocks"))
-    h = {c: real_hash(F.col(c)) for c in ("hash", "hashblock", "txid", "hashprevout")}
+    h = {c: real_hash_of(F.col(c)) for c in ("hash", "hashblock", "txid", "hashprevout")}
     parts = [
         orphans(hash_key(blocks, h["hash"]), hash_key(txs, h["hashblock"], *_kept("transactions")), P5_KEEP, "p5-blocks"),
         orphans(hash_key(txs, h["txid"]), hash_key(outs, h["txid"], *_kept("tx_out")), P5_KEEP, "p5-transactions"),
