@@ -1,8 +1,9 @@
 """Per-key results when a few keys hold most rows.
 
-Partial states are combined in the input split that holds the rows, then merged in rounds of bounded fan-in:
-a state of split p belongs to node p of the lowest level, and every round merges the states of `fan_in`
-neighbouring nodes. No task ever receives all partial states of a key, however many rows the key has.
+Partial states are combined in the input split that holds the rows, then merged in rounds of a fixed fan-in: a state of split p
+belongs to node p of the lowest level, and every round merges the states of FAN_IN neighbouring nodes, so that the rounds grow with
+the logarithm of the splits. No task ever receives more than FAN_IN partial states of a key, however many rows the key has. A split of
+files is a chunk of fixed size (spark.sql.files.maxPartitionBytes), one behind a shuffle of about the advisory size.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LOW_BITS = 32
+#: States of a key that one task merges at most.
+FAN_IN = 64
 
 
 @dataclass(frozen=True)
@@ -27,16 +29,15 @@ class State:
 
 
 def exact_sum(name: str, col: Column) -> list[State]:
-    """Sum of a BIGINT that cannot overflow: high and low halves are summed apart and joined as DECIMAL(38,0)."""
-    whole = F.col(f"{name}__high").cast("decimal(38,0)") * F.lit(1 << LOW_BITS).cast("decimal(20,0)")
-    whole = whole.cast("decimal(38,0)") + F.col(f"{name}__low").cast("decimal(38,0)")
-    return [
-        State(f"{name}__high", F.sum(F.shiftright(col, LOW_BITS))),
-        State(f"{name}__low", F.sum(col.bitwiseAND(F.lit((1 << LOW_BITS) - 1))), "sum", whole.cast("decimal(38,0)").alias(name)),
-    ]
+    """Sum of whole numbers below 2 ** 64 (DECIMAL(20,0)) as DECIMAL(38,0).
+
+    States are decimals in every round: the first has 30 digits, enough for 10 ** 10 such values of a key within FAN_IN splits, each later
+    one 38. So a sum overflows only where its true value has more than 38 digits, and then fails.
+    """
+    return [State(name, F.sum(col.cast("decimal(20,0)")), "sum", F.col(name).cast("decimal(38,0)").alias(name))]
 
 
-def rounds(splits: int, fan_in: int) -> int:
+def rounds(splits: int, fan_in: int = FAN_IN) -> int:
     """Rounds until one node is left; two at least, so that the first never has the whole key."""
     n, left = 0, max(2, splits)
     while left > 1:
@@ -44,16 +45,8 @@ def rounds(splits: int, fan_in: int) -> int:
     return max(2, n)
 
 
-def pick_fan_in(splits: int, max_rounds: int = 4, least: int = 4) -> int:
-    """The smallest fan-in from `least` on that needs at most `max_rounds` rounds."""
-    f = least
-    while rounds(splits, f) > max_rounds:
-        f += 1
-    return f
-
-
 def tree_aggregate(
-    df: DataFrame, keys: Sequence[str], states: Sequence[State], splits: int | None = None, fan_in: int | None = None
+    df: DataFrame, keys: Sequence[str], states: Sequence[State], splits: int | None = None, fan_in: int = FAN_IN
 ) -> DataFrame:
     """One row for each key, with the final columns of `states`.
 
@@ -66,20 +59,13 @@ def tree_aggregate(
     if splits is None:
         splits = int(spark.conf.get("spark.sql.shuffle.partitions"))
     splits = max(1, splits)
-    fan_in = fan_in or pick_fan_in(splits)
     node = "__node"
     at = F.pmod(F.spark_partition_id(), F.lit(splits))
     level = df.withColumn(node, F.floor(at / fan_in).cast("int")).groupBy(*keys, node).agg(*[s.first.alias(s.name) for s in states])
     for _ in range(rounds(splits, fan_in) - 1):
         level = level.withColumn(node, F.floor(F.col(node) / fan_in).cast("int"))
         level = level.groupBy(*keys, node).agg(*[getattr(F, s.merge)(s.name).alias(s.name) for s in states])
-    out = []
-    for s in states:
-        if s.final is not None:
-            out.append(s.final)
-        elif not s.name.endswith("__high"):
-            out.append(F.col(s.name))
-    return level.select(*keys, *out)
+    return level.select(*keys, *[F.col(s.name) if s.final is None else s.final for s in states])
 
 
 def input_splits(df: DataFrame) -> int:
