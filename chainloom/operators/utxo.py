@@ -1,7 +1,7 @@
 """Unspent outputs and balances.
 
-Outputs and spends are events of an outpoint, ordered by height and place in the block; within a transaction inputs come first.
-An outpoint is live if its last event created it. That is one shuffle by outpoint, whatever the range of heights.
+Outputs and spends are ordered by height and place in the block; within a transaction inputs come first. An output lives if it is
+the last of its outpoint and no later spend names it. That is one shuffle of outputs and spends by outpoint, whatever the range of heights.
 """
 
 from __future__ import annotations
@@ -9,12 +9,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chainloom.functions.normalise import ZERO_HASH
 from chainloom.operators.tree_aggregate import exact_sum, tree_aggregate
 
 OUTPOINT = ["txid", "index_out"]
 ORDER = ["height", "tx_index"]
+#: Output index that the input of a coinbase names, beside a hash of zeros.
+NO_INDEX = 4294967295
 
 
 def events(tx_out: DataFrame, tx_in: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -32,15 +36,29 @@ def events(tx_out: DataFrame, tx_in: DataFrame, by: Sequence[str] = ()) -> DataF
     return made.unionByName(spent)
 
 
+def _names_output(tx_in: DataFrame) -> Column:
+    """Whether an input names an output at all: that of a coinbase doesn't, and without it the zero hash would be a hot key."""
+    zero = F.lit(ZERO_HASH if dict(tx_in.dtypes)["hash_prev_out"] == "string" else bytes(32))
+    return (F.col("hash_prev_out") != zero) | (F.col("index_prev_out") != NO_INDEX)
+
+
 def utxo_set(tx_out: DataFrame, tx_in: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., txid, index_out, height, value, address) of every live output with an address.
 
     An outpoint made again replaces the former; made again after a spend it lives. Spends of outputs from before the range
-    of heights have nothing to remove, so a range that starts above 0 gives the live outputs made in it.
+    of heights have nothing to remove, so a range that starts above 0 gives the live outputs made in it. Repeated spends change nothing. An output
+    without txid or index can't be named and lives. Hashes may be text or bytes.
     """
-    order = F.struct(*ORDER, "made")
-    last = events(tx_out, tx_in, by).groupBy(*by, *OUTPOINT).agg(F.max_by(F.struct("made", "height", "value", "address"), order).alias("e"))
-    return last.where("e.made = 1").select(*by, *OUTPOINT, "e.height", "e.value", "e.address")
+    made = tx_out.where("address IS NOT NULL").select(*by, *OUTPOINT, *ORDER, F.col("value").cast("decimal(20,0)").alias("value"), "address")
+    newest = F.row_number().over(W.partitionBy(*by, *OUTPOINT).orderBy(*[F.desc(c) for c in ORDER]))
+    made = made.withColumn("__k", newest).where("__k = 1 OR txid IS NULL OR index_out IS NULL")
+    names = {"hash_prev_out": "txid", "index_prev_out": "index_out", **{c: c for c in (*by, *ORDER)}}
+    spent = tx_in.where(_names_output(tx_in)).select(*[F.col(c).alias(f"__{n}") for c, n in names.items()])
+    at, then = ([F.col(f"{x}{c}") for c in ORDER] for x in ("", "__"))
+    same = (then[0] > at[0]) | ((then[0] == at[0]) & (then[1] > at[1]))
+    for c in (*by, *OUTPOINT):
+        same = same & (F.col(c) == F.col(f"__{c}"))
+    return made.join(spent, same, "left_anti").select(*by, *OUTPOINT, "height", "value", "address")
 
 
 def mark_spent(tx_out: DataFrame, tx_in: DataFrame) -> DataFrame:
@@ -54,7 +72,7 @@ def balances(utxo: DataFrame, by: Sequence[str] = (), nonzero_only: bool = False
 
     An address may own a great part of all outputs, so sums go through tree aggregation. Addresses with a balance of 0 stay unless `nonzero_only`.
     """
-    values = utxo.select(*by, "address", F.col("value").cast("bigint").alias("value"))
+    values = utxo.select(*by, "address", "value")
     sums = tree_aggregate(values, [*by, "address"], exact_sum("balance", F.col("value")))
     return sums.where("balance <> 0") if nonzero_only else sums
 

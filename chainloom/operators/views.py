@@ -22,7 +22,7 @@ def view_transactions(transactions: DataFrame) -> DataFrame:
 
 def view_balances(tx_out: DataFrame) -> DataFrame:
     """(address, balance) of rows marked unspent, in whole coins, largest first. An empty address is a group like any other."""
-    values = tx_out.where("unspent").select("address", F.col("value").cast("bigint").alias("value"))
+    values = tx_out.where("unspent").select("address", "value")
     sums = tree_aggregate(values, ["address"], exact_sum("units", F.col("value")))
     return sums.select("address", coins_of(F.col("units")).alias("balance")).orderBy(F.desc("balance"))
 
