@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chainloom.session import Saved
@@ -36,12 +35,15 @@ def in_range(df: DataFrame, start: int = 0, end: int | None = None, half_open: b
 def until_gap(blocks: DataFrame, start: int = 0, by: Sequence[str] = ()) -> DataFrame:
     """Blocks from `start` on up to the first missing height, for each group of `by`.
 
-    Several blocks of a height count as one. Heights are few beside other tables: one row of an index for each block.
+    Several blocks of a height count as one. The last height is the lowest whose successor is missing; a group without a block at `start` has none.
     """
-    heights = blocks.where(F.col("height") >= start).select(*by, "height").distinct()
-    order = W.partitionBy(*by).orderBy("height") if by else W.partitionBy(F.lit(0)).orderBy("height")
-    heights = heights.withColumn("__k", F.row_number().over(order) - 1).where(F.col("height") - F.lit(start) == F.col("__k")).drop("__k")
-    return blocks.join(heights, [*by, "height"], "left_semi")
+    group = [*by, "__all"]
+    heights = blocks.where(F.col("height") >= start).select(*by, F.lit(0).alias("__all"), "height").distinct()
+    below = heights.withColumn("height", F.col("height") - 1)
+    ends = heights.join(below, [*group, "height"], "left_anti").groupBy(*group).agg(F.min("height").alias("__last"))
+    ends = ends.join(heights.where(F.col("height") == start).select(*group), group, "left_semi")
+    reach = blocks.withColumn("__all", F.lit(0)).join(ends, group).where((F.col("height") >= start) & (F.col("height") <= F.col("__last")))
+    return reach.select(*[F.col(c) for c in blocks.columns])
 
 
 def usable(index: DataFrame) -> DataFrame:
@@ -90,8 +92,8 @@ def with_heights(blocks: DataFrame, by: Sequence[str] = (), max_rounds: int = 40
     """
     jumps = _jumps(blocks, by, max_rounds)
     heights = jumps[-1].df.select(*by, F.col("b").alias("block_hash"), F.col("n").alias("height"))
-    rank = F.row_number().over((W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy(F.desc("height"), "block_hash"))
-    line = heights.withColumn("k", rank).where("k = 1").select(F.col("block_hash").alias("b"))
+    top = heights.groupBy(*by).agg(F.max("height").alias("height"))
+    line = heights.join(top, [*by, "height"]).groupBy(*by).agg(F.min("block_hash").alias("b")).select("b")
     for saved in jumps[:-1]:
         reach = line.join(saved.df, "b").where("to IS NOT NULL").select(F.col("to").alias("b"))
         line = Saved(line.unionByName(reach).distinct(), "line").df
