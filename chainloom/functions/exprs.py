@@ -68,6 +68,27 @@ def compact_width(n: Column) -> Column:
     return F.when(n < 0xFD, 1).when(n < 1 << 16, 3).when(n < 1 << 32, 5).otherwise(9)
 
 
+def compact_hex(n: Column) -> Column:
+    """Hex of the shortest CompactSize of a length."""
+    widths = ((0xFD, "", 1), (1 << 16, "fd", 2), (1 << 32, "fe", 4))
+    out = F
+    for limit, mark, size in widths:
+        out = out.when(n < limit, F.concat(F.lit(mark), little_endian(n, size)))
+    return out.otherwise(F.concat(F.lit("ff"), little_endian(n, 8)))
+
+
+def input_hex(prev: Column, index: Column, script: Column, sequence: Column) -> Column:
+    """Hex of a transaction's input; prev as displayed, a missing outpoint as zeros."""
+    size = F.coalesce(F.octet_length(script), F.lit(0)).cast("bigint")
+    return F.concat(F.coalesce(reverse_hex(prev), F.lit("0" * 64)), little_endian(F.coalesce(index, F.lit(0)), 4), compact_hex(size), F.coalesce(to_hex(script), F.lit("")), little_endian(F.coalesce(sequence, F.lit(0)), 4))
+
+
+def output_hex(value: Column, script: Column) -> Column:
+    """Hex of a transaction's output; a missing value as zero."""
+    size = F.coalesce(F.octet_length(script), F.lit(0)).cast("bigint")
+    return F.concat(little_endian(F.coalesce(value, F.lit(0)).cast("bigint"), 8), compact_hex(size), F.coalesce(to_hex(script), F.lit("")))
+
+
 def merkle_of(hashes: Column) -> Column:
     """Displayed merkle root of an array of displayed hashes in order; null for an empty one. A block bounds the array."""
     inner = F.transform(hashes, lambda h: F.unhex(reverse_hex(h)))

@@ -27,6 +27,8 @@ P2TR = "Pay2Taproot"
 WITNESS = "WitnessProgram"
 MULTISIG = "Pay2MultiSig"
 UNKNOWN = "NotRecognised"
+# Fixed value: why a script can't be taken apart.
+PUSH_ERROR = "Unexpected EOF"
 
 # Opcodes that end a legacy script at once, other than OP_RETURN: reserved, disabled and unassigned ones.
 DEAD = [0x50, 0x62, 0x65, 0x66, 0x7E, 0x7F, 0x80, 0x81, 0x83, 0x84, 0x85, 0x86, 0x89, 0x8A, 0x8D, 0x8E, 0x95, 0x96, 0x97, 0x98, 0x99, *range(0xBA, 0x100)]
@@ -36,12 +38,16 @@ BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 BECH32 = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
 
 
+#: All pairs of base-58 digits, so that two come off a number at a time.
+_PAIRS = [a + b for a in BASE58 for b in BASE58]
+
+
 def base58(data: bytes) -> str:
-    n, out = int.from_bytes(data, "big"), ""
+    n, out = int.from_bytes(data, "big"), []
     while n:
-        n, r = divmod(n, 58)
-        out = BASE58[r] + out
-    return "1" * (len(data) - len(data.lstrip(b"\0"))) + out
+        n, r = divmod(n, 3364)
+        out.append(_PAIRS[r])
+    return "1" * (len(data) - len(data.lstrip(b"\0"))) + "".join(reversed(out)).lstrip("1")
 
 
 def base58check(version: int, payload: bytes) -> str:
@@ -53,23 +59,33 @@ def hash160(data: bytes) -> bytes:
     return hashlib.new("ripemd160", hashlib.sha256(data).digest()).digest()
 
 
-def _polymod(values: list[int]) -> int:
-    chk = 1
+def _steps() -> list[int]:
+    """What each of the 32 leading digits adds to the checksum of a Bech32 address."""
+    generators = (0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)  # fixed values
+    out = [0] * 32
+    for top in range(32):
+        for i, g in enumerate(generators):
+            out[top] ^= g if top >> i & 1 else 0
+    return out
+
+
+_STEPS = _steps()
+
+
+def _polymod(values: list[int], chk: int = 1) -> int:
     for v in values:
-        top, chk = chk >> 25, (chk & 0x1FFFFFF) << 5 ^ v
-        for i, g in enumerate((0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)):
-            chk ^= g if top >> i & 1 else 0
+        chk = (chk & 0x1FFFFFF) << 5 ^ v ^ _STEPS[chk >> 25]
     return chk
 
 
 def segwit_address(prefix: str, version: int, program: bytes) -> str:
     """Bech32 address of a version 0 program, bech32m of any later one."""
-    bits = "".join(f"{b:08b}" for b in program)
-    bits += "0" * (-len(bits) % 5)
-    words = [version] + [int(bits[i : i + 5], 2) for i in range(0, len(bits), 5)]
+    size = -(-8 * len(program) // 5)
+    bits = int.from_bytes(program, "big") << 5 * size - 8 * len(program)
+    words = [version, *[bits >> 5 * k & 31 for k in range(size - 1, -1, -1)]]
     spread = [ord(c) >> 5 for c in prefix] + [0] + [ord(c) & 31 for c in prefix]
-    check = _polymod([*spread, *words, *[0] * 6]) ^ (0x2BC830A3 if version else 1)
-    return prefix + "1" + "".join(BECH32[w] for w in words + [check >> 5 * (5 - i) & 31 for i in range(6)])
+    check = _polymod([*words, *[0] * 6], _polymod(spread)) ^ (0x2BC830A3 if version else 1)
+    return prefix + "1" + "".join([BECH32[w] for w in words] + [BECH32[check >> 5 * (5 - i) & 31] for i in range(6)])
 
 
 def pushes(script: bytes, literal: bool = False):
@@ -88,11 +104,11 @@ def pushes(script: bytes, literal: bool = False):
         if op > 0x4B:
             width = 1 << (op - 0x4C)
             if at - literal + width > len(script):
-                raise ValueError("push beyond the end")
+                raise ValueError(PUSH_ERROR)
             size = int.from_bytes(script[at - literal : at - literal + width], "little")
             at += width
         if at + size > len(script):
-            raise ValueError("push beyond the end")
+            raise ValueError(PUSH_ERROR)
         out.append(script[at : at + size] if size else op)
         at += size
     return out
@@ -166,14 +182,25 @@ def evaluate_other(script: bytes, version_id: int, p2sh_version: int = 5, litera
     return None, UNKNOWN, None
 
 
-def evaluate(script: bytes | None, version_id: int = 0, literal: bool = False) -> tuple[str | None, str | None, str | None]:
-    """(address, pattern, OP_RETURN text) of a script; all null for a null script."""
+def evaluate(script: bytes | None, version_id: int = 0, literal: bool = False, p2sh_version: int = 5) -> tuple[str | None, str | None, str | None]:
+    """(address, pattern, OP_RETURN text) of a script; all null for a null script. The last two arguments are those of evaluate_other."""
     if script is None:
         return None, None, None
-    return evaluate_bitcoin(script, version_id) if version_id in (0, 0x6F) else evaluate_other(script, version_id, literal=literal)
+    return evaluate_bitcoin(script, version_id) if version_id in (0, 0x6F) else evaluate_other(script, version_id, p2sh_version, literal)
+
+
+def script_error(script: bytes | None, version_id: int = 0, literal: bool = False) -> str | None:
+    """Why a script can't be taken apart, as text; null where it can. Its pattern is NotRecognised then."""
+    if script is None or version_id in (0, 0x6F):  # Bitcoin's scripts are read by template
+        return None
+    try:
+        pushes(script, literal)
+    except ValueError as e:
+        return f"ScriptError: {e}"
+    return None
 
 
-def evaluated(script: Column, version_id: Column | None = None) -> Column:
+def evaluated(script: Column, version_id: Column | None = None, literal: bool = False, p2sh_version: int = 5) -> Column:
     """Struct (address, pattern, op_return_data) of a script column, by Arrow batches; equal scripts of a batch are read once."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in ("address", "pattern", "op_return_data")])
 
@@ -184,7 +211,7 @@ def evaluated(script: Column, version_id: Column | None = None) -> Column:
         for s, v in zip(scripts, versions):
             k = (None if s is None else bytes(s), int(v))
             if k not in seen:
-                seen[k] = evaluate(*k)
+                seen[k] = evaluate(*k, literal, p2sh_version)
             out.append(seen[k])
         return pd.DataFrame(out, columns=["address", "pattern", "op_return_data"])
 

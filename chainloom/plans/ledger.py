@@ -7,26 +7,34 @@ coin and height of its block; place in the block is the order of loading. Record
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chainloom.functions.normalise import clean_address, clean_name, epoch_seconds, sql_address, sql_name
+from chainloom.functions.normalise import clean_address, clean_name, epoch_seconds, hash_of, hash_text, sql_address, sql_name
 from chainloom.session import table
 
 ZERO = "0" * 64
+#: Columns of hashes: bytes while a plan joins by them, text in the relations.
+HASHES = ("block_hash", "hash_prev", "hash_merkle_root", "hash_block", "txid", "hash_prev_out")
 
 
 def _first(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each key: that loaded first. Columns are kept apart, so that those a query doesn't use are pruned."""
-    rest = [F.min("id").alias("id")] + [F.min_by(c, "id").alias(c) for c in rows.columns if c not in (*keys, "id")]
-    return rows.groupBy(*keys).agg(*rest)
+    """One row for each key: that loaded first. Each task keeps one row of a key before rows are shuffled, however many copies there are."""
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy("id"))
+    return rows.withColumn("__k", rank).where("__k = 1").drop("__k")
 
 
 def _hash(c: str):
-    """A cleaned hash, null where there is none; zeros stay."""
-    return F.nullif(F.regexp_replace(F.lower(F.btrim(F.col(c), F.lit(" \t\r\n"))), "^0x", ""), F.lit(""))
+    """The bytes of a hash, null where there is none; zeros stay."""
+    return hash_of(F.col(c))
 
 
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shown(df: DataFrame) -> DataFrame:
+    """The relation with its hashes as text."""
+    return df.select(*[hash_text(F.col(c)).alias(c) if c in HASHES else F.col(c) for c in df.columns])
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "blocks").where("dropped_at IS NULL")
     rows = rows.select(
         "id", _hash("hash").alias("block_hash"), clean_name(F.col("coin")).alias("coin"), "height", "version", "blocksize",
@@ -36,28 +44,28 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _first(rows.where("block_hash IS NOT NULL AND coin IS NOT NULL AND height IS NOT NULL"), ["block_hash"])
 
 
-def transactions(spark: SparkSession, sf_dir: str, heads: DataFrame | None = None) -> DataFrame:
+def _transactions(spark: SparkSession, sf_dir: str, heads: DataFrame | None = None) -> DataFrame:
     rows = table(spark, sf_dir, "transactions").where("dropped_at IS NULL")
     rows = rows.select("id", _hash("txid").alias("txid"), _hash("hashblock").alias("hash_block"), "version", F.col("locktime").alias("lock_time"))
     txs = _first(rows.where("txid IS NOT NULL"), ["txid"])
-    heads = blocks(spark, sf_dir) if heads is None else heads
+    heads = _blocks(spark, sf_dir) if heads is None else heads
     heads = heads.select(F.col("block_hash").alias("hash_block"), "coin", "height")
     return txs.join(heads, "hash_block").withColumnRenamed("id", "tx_index")
 
 
-def tx_out(spark: SparkSession, sf_dir: str, txs: DataFrame | None = None) -> DataFrame:
+def _tx_out(spark: SparkSession, sf_dir: str, txs: DataFrame | None = None) -> DataFrame:
     rows = table(spark, sf_dir, "tx_out").where("dropped_at IS NULL")
     rows = rows.select(
         "id", _hash("txid").alias("txid"), F.col("indexout").alias("index_out"), "value", F.col("scriptpubkey").alias("script_pubkey"),
         clean_address(F.col("address")).alias("address"), "unspent", "pattern",
     )
     outs = _first(rows.where("txid IS NOT NULL AND index_out IS NOT NULL"), ["txid", "index_out"])
-    txs = transactions(spark, sf_dir) if txs is None else txs
+    txs = _transactions(spark, sf_dir) if txs is None else txs
     return outs.join(txs.select("txid", "coin", "height", "tx_index"), "txid")
 
 
-def tx_in(spark: SparkSession, sf_dir: str, txs: DataFrame | None = None, whole: bool = False) -> DataFrame:
-    """Inputs that name an outpoint; if `whole` the others too, each kept apart by id."""
+def _tx_in(spark: SparkSession, sf_dir: str, txs: DataFrame | None = None, whole: bool = False, once: bool = True) -> DataFrame:
+    """Inputs that name an outpoint; if `whole` the others too, each kept apart by id. Without `once` copies stay, for those who need no counts."""
     rows = table(spark, sf_dir, "tx_in").where("dropped_at IS NULL")
     rows = rows.select(
         "id", _hash("txid").alias("txid"), _hash("hashprevout").alias("hash_prev_out"), F.col("indexprevout").alias("index_prev_out"),
@@ -65,20 +73,43 @@ def tx_in(spark: SparkSession, sf_dir: str, txs: DataFrame | None = None, whole:
     )
     outpoint = "hash_prev_out IS NOT NULL AND index_prev_out IS NOT NULL"
     keys = ["txid", "hash_prev_out", "index_prev_out"]
-    if whole:
+    if not once:
+        ins = rows.where(f"txid IS NOT NULL AND {outpoint}")
+    elif whole:
         lone = rows.where("txid IS NOT NULL").withColumn("lone", F.when(~F.expr(outpoint), F.col("id")))
         ins = _first(lone, [*keys, "lone"]).drop("lone")
     else:
         ins = _first(rows.where(f"txid IS NOT NULL AND {outpoint}"), keys)
-    txs = transactions(spark, sf_dir) if txs is None else txs
+    txs = _transactions(spark, sf_dir) if txs is None else txs
     return ins.withColumnRenamed("id", "in_index").join(txs.select("txid", "coin", "height", "tx_index"), "txid")
 
 
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(_blocks(spark, sf_dir))
+
+
+def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(_transactions(spark, sf_dir))
+
+
+def tx_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(_tx_out(spark, sf_dir))
+
+
+def tx_in(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return shown(_tx_in(spark, sf_dir, whole=whole))
+
+
+def raw_tables(spark: SparkSession, sf_dir: str, whole: bool = False, once: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """all_tables with hashes as bytes, which are half as long as their text."""
+    heads = _blocks(spark, sf_dir)
+    txs = _transactions(spark, sf_dir, heads)
+    return heads, txs, _tx_in(spark, sf_dir, txs, whole, once), _tx_out(spark, sf_dir, txs)
+
+
 def all_tables(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(blocks, transactions, tx_in, tx_out), the later ones planned on the former, so that a query of several plans each once."""
-    heads = blocks(spark, sf_dir)
-    txs = transactions(spark, sf_dir, heads)
-    return heads, txs, tx_in(spark, sf_dir, txs, whole), tx_out(spark, sf_dir, txs)
+    return tuple(shown(df) for df in raw_tables(spark, sf_dir, whole))
 
 
 def _h(c: str) -> str:
