@@ -1,22 +1,24 @@
-"""Command line: python -m chainloom.cli [options] simplestats | opreturn | csvdump DIR | unspentcsvdump DIR | balances DIR."""
+"""Command line: python -m chainloom.cli [options] ANALYTIC [DIR], the analytics being those of chainloom.plugins and of --plugin modules."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import logging
 import os
 import sys
 import time
+import uuid
 
 from pyspark.sql import functions as F
 
-from chainloom import sinks
 from chainloom.coins import COINS, coin
 from chainloom.operators.heights import check_range, show_range, until_gap, with_heights
 from chainloom.operators.verify import verify
 from chainloom.plugins import ANALYTICS
-from chainloom.session import Saved, build_session
-from chainloom.sources.tables import flatten, read_blocks
+from chainloom.progress import Progress
+from chainloom.session import Saved, build_session, delete_on_exit, shared_dir
+from chainloom.sources.tables import flatten, load, read_blocks, save
 
 log = logging.getLogger("chainloom")
 
@@ -30,15 +32,25 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-s", "--start", type=int, default=0, help="first height")
     p.add_argument("-e", "--end", type=int, help="last height, inclusive; by default the tip")
     p.add_argument("--index", help="folder of the block index; by default `index` in the block folder, if it exists")
+    p.add_argument("--literal-pushdata", action="store_true", help="read the lengths of PUSHDATA from the opcode on, as some older parsers do")
+    p.add_argument("--plugin", action="append", default=[], metavar="MODULE", help="a module that registers more analytics")
     p.add_argument("--master", help="Spark master, if none is configured")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("simplestats", "opreturn"):
-        sub.add_parser(name)
-    for name in ("csvdump", "unspentcsvdump", "balances"):
-        sub.add_parser(name).add_argument("dump_folder")
+    for a in ANALYTICS.values():
+        own = sub.add_parser(a.name, help=a.help)
+        if a.folder:
+            own.add_argument("dump_folder")
     return p
 
 
+def load_plugins(argv: list[str]) -> None:
+    """Imports the modules named by --plugin, so that their analytics are subcommands."""
+    early = argparse.ArgumentParser(add_help=False, allow_abbrev=False)
+    early.add_argument("--plugin", action="append", default=[])
+    for name in early.parse_known_args(argv)[0].plugin:
+        importlib.import_module(name)
+
+
 def setup_log(verbose: int) -> None:
     level = (logging.INFO, logging.DEBUG)[min(verbose, 1)]
     logging.Formatter.converter = time.gmtime
@@ -46,6 +58,8 @@ def setup_log(verbose: int) -> None:
 
 
 def main(argv: list[str] | None = None) -> int:
+    argv = sys.argv[1:] if argv is None else argv
+    load_plugins(argv)
     a = parser().parse_args(argv)
     setup_log(a.verbose)
     try:
@@ -71,25 +85,24 @@ def run(spark, a: argparse.Namespace, chosen, folder: str) -> None:
         blocks = until_gap(with_heights(Saved(blocks.drop("height"), "decoded").df), 0)
         blocks = blocks.where(F.col("height") >= first)
         blocks = blocks if a.end is None else blocks.where(F.col("height") <= a.end)
-    decoded = Saved(blocks, "decoded")
-    whole = flatten(decoded.df, chosen)
-    if a.verify:
-        verify(whole["blocks"], whole["transactions"], chosen.genesis)
-    tables = {n: df.where(F.col("height") >= a.start) for n, df in whole.items()}
-    last = tables["blocks"].agg(F.max("height")).first()[0]
-    if last is None:
-        raise ValueError("no block in the range of heights")
-    if a.command == "simplestats":
-        print(sinks.report(tables))
-    elif a.command == "opreturn":
-        for row in ANALYTICS["opreturn"](tables)["opreturn"].toLocalIterator():
-            print(row["line"])
-    elif a.command == "csvdump":
-        sinks.dump_csv(tables, a.dump_folder, a.start, last)
-    elif a.command == "unspentcsvdump":
-        sinks.dump_utxo(ANALYTICS["unspentcsvdump"](tables)["unspent"], a.dump_folder, a.start, last)
-    else:
-        sinks.dump_balances(ANALYTICS["balances"](tables)["balances"], a.dump_folder, a.start, last)
+    with Progress(spark) as progress:
+        decoded = Saved(blocks, "decoded")
+        relations = f"{shared_dir(spark)}/chainloom/relations-{uuid.uuid4().hex}"
+        delete_on_exit(spark, relations)
+        save(flatten(decoded.df, chosen, a.literal_pushdata), relations)
+        progress.done(decoded.count(), "blocks")
+        decoded.drop()
+        if a.verify:
+            whole = load(spark, relations, first)
+            verify(whole["blocks"], whole["transactions"], chosen.genesis)
+        tables = load(spark, relations, a.start)
+        last = tables["blocks"].agg(F.max("height")).first()[0]
+        if last is None:
+            raise ValueError("no block in the range of heights")
+        chosen_analytic = ANALYTICS[a.command]
+        counts = chosen_analytic.emit(chosen_analytic.run(tables), getattr(a, "dump_folder", None), a.start, last)
+    for name, n in (counts or {}).items():
+        log.info("%s: %d", name, n)
     log.info("done at height %s", last)
 
 
