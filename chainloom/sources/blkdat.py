@@ -6,6 +6,8 @@
 Files are blkNNNNN.dat with an optional xor.dat beside them. With `index`, a folder of the block index (LevelDB tables, or Parquet of key
 and value), the blocks are those of the index in the range, with their heights. Without, files are read from frame to frame and the height is null;
 operators.heights.with_heights derives it. A task reads one run of offsets of one file.
+
+As a stream (spark.readStream.format("blkdat"), with an index) the source gives the blocks of the heights that the index has gained since the last batch.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from chainloom.coins import coin as coin_of
 from chainloom.functions.codec import read_block, read_index_record, unxor
@@ -106,10 +108,17 @@ class Run(InputPartition):
 
 
 class _File:
-    """Plain bytes of a file that may be XORed."""
+    """Plain bytes of a file that may be XORed; opened when its run is read and closed behind it."""
 
     def __init__(self, run: Run):
-        self.f, self.key = open(run.path, "rb"), run.key  # noqa: SIM115
+        self.path, self.key = run.path, run.key
+
+    def __enter__(self):
+        self.f = open(self.path, "rb")  # noqa: SIM115
+        return self
+
+    def __exit__(self, *_):
+        self.f.close()
 
     def read(self, at: int, n: int) -> bytes:
         self.f.seek(at)
@@ -174,32 +183,76 @@ class BlockReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     def _raw(self, run: Run):
-        file = _File(run)
-        if run.blocks is not None:
+        with _File(run) as file:
+            if run.blocks is None:
+                yield from self._frames(file, run)
+                return
             for height, at in run.blocks:
                 yield height, file.read(at, int.from_bytes(file.read(at - 4, 4), "little"))
-            return
+
+    def _frames(self, file: _File, run: Run):
+        """The blocks of the frames that begin in the run.
+
+        Frames are followed by their sizes from the start of the file, reading eight bytes of each, so that the magic bytes of a network
+        within a block are never taken for a frame.
+        """
         magic, size = self.coin.magic.to_bytes(4, "little"), os.path.getsize(run.path)
-        at = self._frame(file, magic, run.first, size)
+        at = self._frame(file, magic, 0, size)
         while at is not None and at < run.last:
             n = int.from_bytes(file.read(at + 4, 4), "little")
             if at + 8 + n > size:
                 return  # the node has not written the whole block yet
-            yield None, file.read(at + 8, n)
+            if at >= run.first:
+                yield None, file.read(at + 8, n)
             at = self._frame(file, magic, at + 8 + n, size)
 
     @staticmethod
     def _frame(file: _File, magic: bytes, at: int, size: int) -> int | None:
         """Position of the next frame from `at` on; fill bytes between frames are passed over."""
+        length = 8  # nearly always the next frame follows at once
         while at + 8 <= size:
-            chunk = file.read(at, 1 << 20)
+            chunk = file.read(at, length)
             k = chunk.find(magic)
             if k >= 0:
                 return at + k
             at += max(1, len(chunk) - 3)
+            length = 1 << 20
         return None
 
 
+class BlockStream(DataSourceStreamReader):
+    """New blocks of a growing index; an offset is the first height that was not read yet.
+
+    A height is read once, so a replaced block behind the tip is not seen; begin some heights below the tip where that matters.
+    """
+
+    def __init__(self, options: dict, schema=None):
+        if not options.get("index"):
+            raise ValueError("a stream of blocks needs an index")
+        self.options, self.schema = dict(options), schema
+        self.first = int(options.get("start", 0))
+
+    def _reader(self, start: int, end: int | None) -> BlockReader:
+        reader = BlockReader(self.options, self.schema)
+        reader.start, reader.end = start, end
+        return reader
+
+    def initialOffset(self) -> dict:
+        return {"height": self.first}
+
+    def latestOffset(self) -> dict:
+        found = selected(index_records(self.options["index"]), self.first, None)
+        return {"height": max(self.first, found[-1]["height"] + 1 if found else 0)}
+
+    def partitions(self, start: dict, end: dict) -> list[Run]:
+        if start["height"] >= end["height"]:
+            return []
+        return self._reader(start["height"], end["height"] - 1).partitions()
+
+    def read(self, partition: Run):
+        return self._reader(0, None).read(partition)
+
+
 class UnfilteredBlockReader(BlockReader):
     """For sessions without spark.sql.python.filterPushdown.enabled, which refuse readers with pushFilters."""
 
@@ -220,3 +273,6 @@ class BlockFiles(DataSource):
         spark = SparkSession.getActiveSession()
         plain = self.options.get("pushdown", "true" if spark is None else spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
         return (BlockReader if plain == "true" else UnfilteredBlockReader)(self.options, schema)
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return BlockStream(self.options, schema)

@@ -26,8 +26,11 @@ def read_blocks(spark: SparkSession, folder: str, coin: Coin, index: str | None
     return reader.load(folder)
 
 
-def flatten(blocks: DataFrame, coin: Coin) -> ChainTables:
-    """blocks, transactions, tx_in and tx_out of decoded blocks. Scripts are read only where their columns are selected."""
+def flatten(blocks: DataFrame, coin: Coin, literal: bool = False) -> ChainTables:
+    """blocks, transactions, tx_in and tx_out of decoded blocks. Scripts are read only where their columns are selected.
+
+    `literal` reads the lengths of PUSHDATA as scripts.pushes tells.
+    """
     heads = blocks.drop("txs")
     if "aux_pow" in blocks.columns:
         heads = heads.withColumn("has_auxpow", F.col("aux_pow").isNotNull()).drop("aux_pow")
@@ -35,7 +38,7 @@ def flatten(blocks: DataFrame, coin: Coin) -> ChainTables:
     flat = txs.select("height", "hash_block", "tx_index", *[F.col(f"tx.{c}").alias(c) for c in ("txid", "version", "lock_time", "in_count", "out_count", "stripped_size")], coinbase(F.col("tx.inputs")).alias("is_coinbase"))
     ins = txs.select("height", "tx_index", F.col("tx.txid").alias("txid"), F.posexplode("tx.inputs").alias("in_index", "i"))
     outs = txs.select("height", "tx_index", F.col("tx.txid").alias("txid"), F.posexplode("tx.outputs").alias("index_out", "o"))
-    script = evaluated(F.col("o.script_pubkey"), F.lit(coin.version_id)).alias("s")
+    script = evaluated(F.col("o.script_pubkey"), F.lit(coin.version_id), literal, coin.p2sh_version).alias("s")
     outs = outs.select("height", "tx_index", "txid", F.col("index_out").cast("bigint").alias("index_out"), "o.value", "o.script_pubkey", script)
     return {
         "blocks": heads,

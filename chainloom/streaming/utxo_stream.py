@@ -12,17 +12,16 @@ STATE = "height bigint, tx_index bigint, made int"
 CHANGES = "txid string, index_out bigint, height bigint, tx_index bigint, live boolean, value decimal(20,0), address string"
 
 
+ORDER = ["height", "tx_index", "made"]
+
+
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = tuple(state.get) if state.exists else (-1, -1, -1)
-    newest = None
-    for df in batches:
-        for row in df[["height", "tx_index", "made", "value", "address"]].itertuples(index=False):
-            at = (int(row.height), int(row.tx_index), int(row.made))
-            if at >= last:
-                last, newest = at, row
-    if newest is not None:
-        state.update(last)
-        yield pd.DataFrame([{"txid": key[0], "index_out": key[1], "height": last[0], "tx_index": last[1], "live": last[2] == 1, "value": newest.value, "address": newest.address}])
+    rows = pd.concat(list(batches), ignore_index=True)
+    newest = rows.iloc[rows.sort_values(ORDER, kind="stable").index[-1]]
+    at = tuple(int(newest[c]) for c in ORDER)
+    if not state.exists or at >= tuple(state.get):
+        state.update(at)
+        yield pd.DataFrame([{"txid": key[0], "index_out": key[1], "height": at[0], "tx_index": at[1], "live": at[2] == 1, "value": newest["value"], "address": newest["address"]}])
 
 
 def utxo_changes(events: DataFrame) -> DataFrame:
