@@ -7,8 +7,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from chainloom.functions import normalise
 from chainloom.operators import heights, orphans, stats, utxo, verify, views
-from chainloom.operators.tree_aggregate import State, exact_sum, pick_fan_in, rounds, tree_aggregate
+from chainloom.operators.tree_aggregate import State, exact_sum, rounds, tree_aggregate
+from chainloom.session import Saved, fits, shared_dir, small_side
 
 slow = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -29,7 +31,7 @@ def test_tree_is_exact_and_bounded(spark):
         known = [v for v in vs if v is not None]
         assert got[k] == (len(vs), Decimal(sum(known)) if known else None, max(known, default=None))
     assert len(got) == len(per)
-    assert rounds(13, 2) == 4 and rounds(1, 8) == 2 and all(rounds(p, pick_fan_in(p)) <= 4 for p in (1, 10, 1000, 800_000))
+    assert rounds(13, 2) == 4 and [rounds(p) for p in (1, 64, 4096, 4097, 800_000)] == [2, 2, 2, 3, 4]
     plan = tree_aggregate(df, ["k"], states(), splits=13, fan_in=2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(k") == 4
 
@@ -44,6 +46,60 @@ def test_tree_edge_cases(spark):
     assert tree_aggregate(twice, ["k"], states()).count() == 2
 
 
+def test_sums_beyond_64_bits(spark):
+    """Merged states as large as those of 2 ** 40 rows, and values of the whole unsigned range."""
+    big = spark.createDataFrame([("a", Decimal(2**64 - 1)), ("a", Decimal(2**63)), ("b", Decimal(0)), ("b", None)], "k string, v decimal(20,0)")
+    assert {r.k: r.s for r in tree_aggregate(big, ["k"], exact_sum("s", F.col("v"))).collect()} == {"a": Decimal(2**64 - 1 + 2**63), "b": Decimal(0)}
+    merged = spark.createDataFrame([("a", Decimal(2**103))] * 3, "k string, s decimal(38,0)")
+    state = exact_sum("s", F.col("s"))[0]
+    assert merged.groupBy("k").agg(getattr(F, state.merge)("s").alias("s")).select(state.final).first().s == 3 * 2**103
+    live = spark.createDataFrame([("t", 0, 5, Decimal(2**63), "x"), ("u", 0, 5, Decimal(2**64 - 1), "x")], "txid string, index_out bigint, height bigint, value decimal(20,0), address string")
+    assert utxo.balances(live).first().balance == 2**63 + 2**64 - 1
+    seen = views.view_balances(live.withColumn("unspent", F.lit(True))).first()
+    assert seen.balance == (Decimal(2**63 + 2**64 - 1) * Decimal("0.00000001"))
+
+
+def test_outputs_without_outpoint_and_coinbases(spark):
+    o = spark.createDataFrame([("a", 0, 1, 0, 5, "x"), (None, 0, 1, 1, 6, "x"), (None, 0, 1, 2, 7, "x"), ("b", None, 1, 3, 8, "x")], "txid string, index_out bigint, height bigint, tx_index bigint, value bigint, address string")
+    i = spark.createDataFrame([("0" * 64, 2**32 - 1, 2, 0), ("a", 0, 2, 1), ("a", 0, 2, 1), (None, 0, 3, 0)], "hash_prev_out string, index_prev_out bigint, height bigint, tx_index bigint")
+    assert sorted(int(r.value) for r in utxo.utxo_set(o, i).collect()) == [6, 7, 8]
+
+
+def test_hashes_as_bytes(spark):
+    texts = ["AB" * 32, " 0x" + "ab" * 32 + "\n", "0" * 64, "0x" + "0" * 64, "junk", "", "  ", None, "x" * 64, "y" * 31, "é" * 31, "?" + "z" * 31, " " + "c" * 63]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    rows = df.select("t", normalise.hash_of(F.col("t")).alias("b"), normalise.real_hash_of(F.col("t")).alias("r"), normalise.clean_hash(F.col("t")).alias("c"), normalise.real_hash(F.col("t")).alias("d")).withColumn("back", normalise.hash_text(F.col("b"))).orderBy("k").collect()
+    assert [r.back for r in rows] == [r.c or None for r in rows]
+    assert [r.r is None for r in rows] == [not r.d for r in rows]
+    assert {len(r.b) == 32 for r in rows if r.c and set(r.c) <= set("0123456789abcdef") and len(r.c) == 64} == {True}
+    assert all(len(r.b) != 32 for r in rows if r.c in ("junk", "x" * 64, "y" * 31, "é" * 31, "?" + "z" * 31, "c" * 63))
+
+
+def test_addresses(spark):
+    cases = {" a ": "a", "\t\r\n a\n": "a", "BC1Q ": "bc1q", "Bc1q": "bc1q", "1BC1": "1BC1", "": None, " \n": None, None: None, "a b": "a b"}
+    rows = spark.createDataFrame([(k,) for k in cases], "a string").select("a", normalise.clean_address(F.col("a")).alias("c")).collect()
+    assert {r.a: r.c for r in rows} == cases
+
+
+def test_broadcast_only_what_fits(spark):
+    rows = Saved(spark.range(1000).select("id", F.repeat(F.lit("x"), 100).alias("t")), "rows")
+    assert fits(rows, 1 << 20) and not fits(rows, 150_000) and not fits(rows, 10_000)
+    assert small_side(rows, 0).count() == small_side(rows).count() == 1000
+    assert fits(Saved(spark.range(0), "none"), 0)
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://head:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
+
+
 def keys(spark, rows):
     return spark.createDataFrame(rows, "p string, n bigint").select(F.col("p").cast("binary").alias("p"), "n")
 
@@ -58,7 +114,7 @@ def test_runs(spark):
     assert sorted((bytes(r.p), r.first, r["last"]) for r in got) == [(b"a", 1, 3), (b"a", 7, 7), (b"a", far - 1, far - 1), (b"a", far, far + 1), (b"b", 0, 0)]
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
+@pytest.mark.parametrize("limit", [16 << 20, 0])
 def test_orphans_against_brute_force(spark, limit):
     rng = random.Random(2)
     parents = [(f"h{rng.randrange(20)}", rng.choice([rng.randrange(9), (1 << 20) - 1, 1 << 20, -1])) for _ in range(150)]
@@ -76,7 +132,7 @@ def test_orphans_empty(spark):
 
 def test_hash_keys(spark):
     df = spark.createDataFrame([("ab" * 32, 1), ("junk", 2), (None, 3), ("", 4)], "x string, h int")
-    got = {r.h: (r.p and bytes(r.p), r.n) for r in orphans.hash_key(df, F.col("x"), F.col("h")).collect()}
+    got = {r.h: (r.p and bytes(r.p), r.n) for r in orphans.hash_key(df, normalise.hash_bytes(F.col("x")), F.col("h")).collect()}
     assert got == {1: (b"\xab" * 26, 0xABABABABABAB), 2: (b"?junk", -1), 3: (None, -1), 4: (None, -1)}
 
 

@@ -1,6 +1,7 @@
 import io
 import os
 import random
+import shutil
 from contextlib import redirect_stdout
 from decimal import Decimal
 
@@ -9,17 +10,19 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from chainloom import cli, sinks
+from chainloom import cli, plugins, sinks
 from chainloom.coins import coin
-from chainloom.functions import codec
+from chainloom.functions import codec, scripts
 from chainloom.functions.scripts import OP_RETURN, P2PKH
 from chainloom.operators import utxo
 from chainloom.operators.verify import ChainError, verify
+from chainloom.progress import Progress
 from chainloom.sources import blkdat, leveldb
 from chainloom.sources.tables import flatten, load, load_csv, read_blocks, save
 from chainloom.streaming.utxo_stream import utxo_changes
 
 ZERO = "0" * 64
+# A public script and its address.
 SCRIPT = bytes.fromhex("76a91412ab8dc588ca9d5787dde7eb29569da63c3a238c88ac")
 ADDRESS = "12higDjoCCNXSA95xZMWUdPvXNmkAduhWv"
 
@@ -208,7 +211,9 @@ def run_cli(*args):
 
 def test_command_line(spark, home, tmp_path):
     code, text = run_cli("-d", str(home), "simplestats")
-    assert code == 0 and "valid blocks: 12" in text and "total transactions: 22" in text and "total tx fees: 0.00000066 (66 units)" in text and "avg time between blocks: 10.00" in text
+    lines = {x[:29].strip(): x[29:].strip() for x in text.splitlines()}
+    assert code == 0 and (lines["blocks"], lines["transactions"], lines["mean minutes between blocks"]) == ("12", "22", "10.00")
+    assert lines["fees"] == "0.00000066 = 66 of the smallest unit" and lines["scripts Pay2PublicKeyHash"].startswith("22, 64.71 %, first at height 0")
     code, text = run_cli("-d", str(home), "-s", "3", "-e", "4", "opreturn")
     assert code == 0 and [x.split()[-1] for x in text.splitlines()] == ["note3", "note4"] and text.startswith("height: 3         txid: ")
     assert run_cli("-d", str(home), "balances", str(tmp_path))[0] == 0
@@ -222,6 +227,68 @@ def test_command_line(spark, home, tmp_path):
     assert run_cli("-d", str(home), "--verify", "-s", "2", "simplestats")[0] == 0
 
 
+def test_counts_and_progress(spark, home, tmp_path, caplog):
+    with caplog.at_level("INFO"):
+        assert run_cli("-d", str(home), "csvdump", str(tmp_path))[0] == 0 and run_cli("-d", str(home), "balances", str(tmp_path))[0] == 0
+    said = caplog.text
+    assert all(x in said for x in ("blocks: 12", "transactions: 22", "tx_in: 22", "tx_out: 34", "addresses: 1", "12 blocks, "))
+    with caplog.at_level("INFO"), Progress(spark, 0.2) as p:
+        spark.range(4, numPartitions=4).repartition(4).foreachPartition(lambda _: __import__("time").sleep(1))
+        assert p.done(10, "things") > 0
+    assert "tasks of the running stages" in caplog.text and "10 things" in caplog.text
+
+
+def test_plugins(spark, home, tmp_path, monkeypatch):
+    (tmp_path / "tip_plugin.py").write_text("from pyspark.sql import functions as F\nfrom chainloom.plugins import analytic\n\n\n@analytic('tips', help='the highest block')\ndef tips(t):\n    return {'tips': t['blocks'].agg(F.max('height'), F.count(F.lit(1)))}\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    try:
+        code, text = run_cli("-d", str(home), "--plugin", "tip_plugin", "-e", "7", "tips")
+        assert code == 0 and text == "7\t8\n"
+    finally:
+        plugins.ANALYTICS.pop("tips", None)
+
+
+def test_magic_within_a_block(spark, tmp_path, monkeypatch):
+    """The magic bytes inside of a script are no frame, also where a split begins right before them."""
+    blocks = build_chain(3)
+    magic = coin().magic.to_bytes(4, "little")
+    tx = {"version": 1, "lock_time": 0, "inputs": [{"hash_prev_out": ZERO, "index_prev_out": 2**32 - 1, "script_sig": b"", "sequence": 0}], "outputs": [{"value": 1, "script_pubkey": (magic + len(blocks[0]).to_bytes(4, "little") + blocks[0]) * 3}]}
+    raw = codec.write_tx(tx)
+    head = {"version": 1, "hash_prev": codec.read_header(blocks[-1])["block_hash"], "n_time": 1, "n_bits": 1, "n_nonce": 1, "hash_merkle_root": codec.read_tx(raw)[0]["txid"]}
+    blocks.append(codec.write_header(head) + b"\1" + raw)
+    write_files(tmp_path, blocks)
+    monkeypatch.setattr(blkdat, "SPLIT", 100)
+    reader = blkdat.BlockReader({"path": str(tmp_path)})
+    found = [b for p in reader.partitions() for _, b in reader._raw(p)]
+    assert len(reader.partitions()) > 8 and sorted(found) == sorted(blocks)
+
+
+def test_literal_pushdata_and_errors(spark):
+    odd = b"\x6a\x4c\x02" + b"z" * 2
+    assert scripts.evaluate(odd, 0x1E)[1:] == (OP_RETURN, "zz") and scripts.evaluate(odd, 0x1E, literal=True)[1] == scripts.UNKNOWN
+    assert scripts.script_error(odd, 0x1E) is None and scripts.script_error(odd, 0x1E, literal=True) == "ScriptError: Unexpected EOF" and scripts.script_error(None) is None
+    row = spark.createDataFrame([(bytearray(b"\xa9\x14" + bytes(20) + b"\x87"),)], "s binary")
+    read = [row.select(scripts.evaluated(F.col("s"), F.lit(0x1E), p2sh_version=v)["address"]).first()[0] for v in (5, 0x16)]
+    assert read == [scripts.base58check(5, bytes(20)), scripts.base58check(0x16, bytes(20))]
+
+
+def test_stream_of_blocks(spark, tmp_path):
+    spark.dataSource.register(blkdat.BlockFiles)
+    records = write_files(tmp_path, build_chain())
+    write_index(tmp_path / "index", [r for r in records if r["height"] < 5])
+    stream = spark.readStream.format("blkdat").option("index", str(tmp_path / "index")).option("start", "2").load(str(tmp_path)).select("height", "block_hash")
+
+    def batch():
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted(r.height for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert batch() == [2, 3, 4]
+    shutil.rmtree(tmp_path / "index")
+    write_index(tmp_path / "index", records)
+    assert batch() == list(range(2, 12))
+
+
 def test_command_line_without_index(spark, tmp_path):
     write_files(tmp_path, build_chain(6), order=[3, 1, 0, 2, 5, 4])
     code, text = run_cli("-d", str(tmp_path), "-s", "1", "-e", "3", "opreturn")

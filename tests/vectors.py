@@ -1,0 +1,104 @@
+"""Public data of several chains, as hex."""
+
+# A transaction with witness, of the public page on weight units.
+SEGWIT_TX = bytes.fromhex(
+    """
+    0100000000010115e180dc28a2327e687facc33f10f2a20da717e5548406f7ae8b4c811072f85603000000171600141d7cd6c75c2e86f4cbf98eaed221b30bd9a0b928ffffffff019caef50500000000
+    1976a9141d7cd6c75c2e86f4cbf98eaed221b30bd9a0b92888ac02483045022100f764287d3e99b1474da9bec7f7ed236d6c81e793b20c4b5aa1f3051b9a7daa63022016a198031d5554dbb855bdbe85
+    34776a4be6958bd8d530dc001c32b828f6f0ab0121038262a6c6cec93c2d3ecd6c6072efea86d02ff8e3328bbd0242b20af3425990ac00000000
+    """
+)
+
+# A merge-mined Namecoin block, of the public page on merged mining.
+NAMECOIN_BLOCK = bytes.fromhex(
+    """
+    0101010036909ac07a1673daf65fa7d828882e66c9e89f8546cdd50a9fb10000000000000f5c6549bcd608ab7c4eac593e5bd5a73b2d432eb63518708f778fc7dcdfaf888d1a904e69b2001b00000000
+    01000000010000000000000000000000000000000000000000000000000000000000000000ffffffff35045dee091a014d522cfabe6d6dd8a7c3e01e1e95bcee015e6fcc7583a2ca60b79e5a3aa0a171
+    eddd344ada903d0100000000000000ffffffff0160a0102a01000000434104f8bbe97ed2acbc5bba11c68f6f1a0313f918f3d3c0e8475055e351e3bf442f8c8dcee682d2457bdc5351b70dd9e3402676
+    6eba18b06eaee2e102efd1ab634667ac00000000a903ef9de1918e4b44f6176a30c0e7c7e3439c96fb597327473d00000000000005050ac4a1a1e1bce0c48e555b1a9f935281968c72d6379b24729ca0
+    425a3fc3cb433cd348b35ea22806cf21c7b146489aef6989551eb5ad2373ab6121060f30341d648757c0217d43e66c57eaed64fc1820ec65d157f33b741965183a5e0c8506ac2602dfe2f547012d1cc7
+    5004d48f97aba46bd9930ff285c9f276f5bd09f356df19724579d65ec7cb62bf97946dfc6fb0e3b2839b7fdab37cdb60e55122d35b0000000000000000000100000008be13295c03e67cb70d00dae81e
+    a06e78b9014e5ceb7d9ba504000000000000e0fd42db8ef6d783f079d126bea12e2d10c104c0927cd68f954d856f9e8111e59a23904e5dee091a1c655086010100000001000000000000000000000000
+    0000000000000000000000000000000000000000ffffffff080469b2001b010152ffffffff0100f2052a0100000043410489fe91e62847575c98deeab020f65fdff17a3a870ebb05820b414f3d809721
+    8ec9a65f1e0ae0ac35af7247bd79ed1f2a24675fffb5aa6f9620e1920ad4bf5aa6ac00000000
+    """
+)
+
+# Dogecoin block 3983721, merge-mined.
+DOGECOIN_BLOCK = bytes.fromhex(
+    """
+    04016200ee005304598f0f02bb7cd4abd535870d10886c8d156e77f4f048acd685a04f20d95bca867d52a902cd755a6e3165ac10a72220f4f338f5a4b656922b1731935ca53795611ba5041a00000000
+    01000000010000000000000000000000000000000000000000000000000000000000000000ffffffff60035df420192f5669614254432f4d696e656420627920656472697335362f2cfabe6d6dee913d
+    6204d684a3b723090217dc3d94230144cd056fe7d8ced664b6015f1153100000000000000010e78ac302095aa98cf71c9df32c00000000000000ffffffff0230b4924a000000001976a914e16c28146e
+    d4869c190b3f0bdc18d80d45f9213488ac0000000000000000266a24aa21a9edc2968bc8fbedc8b0e4e9143761f450ac4c6d93f93a09d672ae32d0c4745693e3000000001c4939323071e1b53c0e0f51
+    40e4e4fe5d2e93dccf9c5e809417690fdf90c2c5084b0e4c8833abf0deb8794f835e87b6e35e6f10938b01b8f56c8359f27d5855c95c8b856923a37ff0d095887414e8616752f5807fe51b0066ba5993
+    b688dcd85b390ccaf463290074ebd3facff75d8f5bbeb900374e3084617b52d3b04e686e51e642b01023cbaf3839df84f6a549f286e5bd022564c84620ac99a7aff11fb73326c8bd9c07e0cb414118af
+    fa47deff0da3f587545a78529b5e4e160da0091ec92251b3fd4428f4bbca3f1597f11b0d31bf524797b1ed7696268879073b149b5945b929e8588b67f579fff8a1d0edd1696603f81f557739e77ed945
+    5033dacbbf14fc31c441fd9d2ed672d5efc0740a172700c04878a76ca97821ce406b382caa00000000040000000000000000000000000000000000000000000000000000000000000000e2f61c3f71d1
+    defd3fa999dfa36953755c690689799962b48bebd836974e8cf97d24db2bfa41474bfb2f877d688fac5faa5e10a2808cf9de307370b93352e54894857d3e08918f70395d9206410fbfa942f1a889aa5a
+    b8188ec33c2f6e207dc708000000000000209efdde6a19528ee8de91b8041a462b29d76237912a67fe8892596db86765f4bc2ee86b582b9ad63395c7cd3ba3bd72d2dd35486ede77d52364b6ce2d33a4
+    f366d93795619f6f011aa5041d410801000000010000000000000000000000000000000000000000000000000000000000000000ffffffff060369c93c0101ffffffff011025abe0e800000023210382
+    9125d35fad23dcc6526e73bce0b18aa7c0897e0fc5d39e75e43af96b950748ac0000000001000000013e5a6b7e842d8c07e84e43935cdcbf80f6300852fc25f3367d3284d8337ae6f001000000d90047
+    304402200df59dc1946ab91fad8200ddd9b889eca192a3a642a94a7555e6251f89896d7a022059c3c54131f5dfc87c909926334d132e3a218b680b6e5c796e6290881015646d01473044022070e751c6
+    2e5b82850d08c393577080ba330e938b0a9a34e0aae378e15b53209e022045855e90bbde5a021f63e063e257a70e9a9604de698af4649eaf260eba5a8c380147522102adf2cb5afd730171a425d26301
+    4e9307d71edc352b4c3c9b750eecdc95ef70d021027105672d0cf8269ca3ea757754049eeec8da3a7e963d2786f06547cd78c28be252aeffffffff0271475ad2000000001976a914680191e9a60fd3b7
+    5287591e09be1f6bd5ef8e3288ac69a4cf267505000017a914db72653436f25884f2ab2bf050d06e805907dd0e870000000001000000013de7f40e3f5917c8eccc1b79ae107849b5caf807e489d698d4
+    84cbaeeb62a098010000006b483045022100a55c5db2959056e6fbfcee67c4c807cd4817022b285460e14c9b6e73aff30b2f022044e85f1a28d144a20921b2a37b7ee1012c9fe59133253385db2ee8f2
+    7ebdb89501210398dfc5e93a5a5412d54103b108cfd96a404bc2f742508e1fe1caa02316db5a39feffffff020088526a740000001976a9144887ab64912530c2e9bfe725cb888afd0684279b88acd1a2
+    e12a230000001976a914bb4f24d3bdd28a7fae0d415e412924ce374f52d688ac65c93c00010000000175c822c411e324c855de501bcea365a76cec3eaaefe64cbdc666f7dc6ae34091000000006a4730
+    4402205a853b710c83504b53fe817cce151a47d7599227e68799a5f0d1ac98553ac9ae02200da1244933d356aee4bd2cee851b091821f3a9ff6cc02871d0e96aeb8325a4d801210398dfc5e93a5a5412
+    d54103b108cfd96a404bc2f742508e1fe1caa02316db5a39feffffff020088526a740000001976a91401cacd40a9e37f954f402b34c87b6235a07aec9888ac38fc3b90950000001976a914a47f59ad6b
+    a4a8e91d1cd4eab063ac57ca20da8e88ac65c93c00010000000111c558343e272496571bb683100573537fb8ef728607dea244f15eedacec4f9b01000000d90047304402203447eda7f004865691389a
+    8d0f96b03be77a3e7b4a4a6c5c99d1df8e2f41bd8e02200512ee26049be6d54d9f98f85ab1d5573285f44678ac987bbf606b3d269b30bf014730440220346bbb3f1baa62549974e75b10906a07cee64b
+    5e08dcc29196100abd6e7486c502201de28932d86a7fb82fbaa8d43cea595400e2e9a5839ccda437392c94770b16c80147522102e6bde2116c3aa67fd4906da28bb744a5ed808a1524e77181eeb17af4
+    db1192ac2102a0b01598097de08a0838b779155c405d6dacd3a816b61d188090171c00b1ae7c52aeffffffff02e5555b7b000000001976a9146eece0180445ac8b38365396ed7430bd5909c5f688ac4e
+    6815a49408000017a9140aa26a002d22f88c1f83d35298dc64769fe6e81a8700000000010000000180446f4fb9d2bb5bcf7b8b19f7670b7c84e19b106e6aeb4b1e0e9be164b2c727000000006a473044
+    022032e6a469a19c41b3490efd2968b5293e2473cd5eadb7b19c1f7c85aedd0f9d3a022076407fd754029dcd54206b25445f427bdd47be9b68b55ff8104f43fb05f29570012102871619fcca09a391a0
+    f94156e2f6a03e1143f731bbe0cea5aad38830df7f9caaffffffff010084d717000000001976a914ada1df3b87e63c79fb443bdffe46fd13fc83669888ac0000000001000000017ca2d9cb3a4e9c6886
+    2c763e87e2ad1ed08e4470b446438332ef0cc2ba04aeaf01000000d80047304402200b057fdcc972b8b0f05111da0d9f86f4097adc3ab2b59f63870a126da08073d302203554a20aa7cd6c7b20098b80
+    1bc876436704864b772dca20199bbf606e34126301463043022012c2fff78bc7d83875b21dc72f7bc76a2d9fd19684e1c600807ae4d5da7da38d021f2e12f07122c16b14c64ea523ae79da5eb846c734
+    463c648f8b2c9c89efa1c20147522102e6bde2116c3aa67fd4906da28bb744a5ed808a1524e77181eeb17af4db1192ac2102a0b01598097de08a0838b779155c405d6dacd3a816b61d188090171c00b1
+    ae7c52aeffffffff02a0955e39000000001976a91480fa46ec1ffb24ac6cd4b88e3caeb39f1ab1e1f588acd0cbefef5b00000017a9140aa26a002d22f88c1f83d35298dc64769fe6e81a870000000001
+    00000001e8cdd50602b1a61de1f3c6a238cbf127cf58fc67e5bd320d9efd1ad7e0a601df000000006a47304402206cbaeef4c6800f8e509d67b813da2df609b6430ad3e57d5c8db996bc9270b2e60220
+    542eb0acfdd0f8259b7b43d4af602482f029577dee7cd77aea55f7b4e4ca6e000121039bf9fe5b8e5be23b406e4c4825675aa572cdcb38eab06db45ed14e1d6941a8fefeffffff03000c774203000000
+    1976a914acc7b78c3751103fa6f85533c7613c4c19e04f2f88ac8e68de13190000001976a914605bd7cb9e96b11bb0eb01c65fe049f839ecaf1388ac003bdf9b030000001976a9146c53cd10025ee869
+    fcb83db94d9ff51ec8d322b788ac65c93c00
+    """
+)
+
+# Bitcoin transaction fff2525b8931402dd09222c50775608f75787bd2b87e56995a7bdd30f79702c4.
+SPENT_TX = bytes.fromhex(
+    """
+    0100000001032e38e9c0a84c6046d687d10556dcacc41d275ec55fc00779ac88fdf357a187000000008c493046022100c352d3dd993a981beba4a63ad15c209275ca9470abfcd57da93b58e4eb5dce82
+    022100840792bc1f456062819f15d33ee7055cf7b5ee1af1ebcc6028d9cdb1c3af7748014104f46db5e9d61a9dc27b8d64ad23e7383a4e6ca164593c2527c038c0857eb67ee8e825dca65046b82c9331
+    586c82e0fd1f633f25f87c161bc6f8a630121df2b3d3ffffffff0200e32321000000001976a914c398efa9c392ba6013c5e04ee729755ef7f58b3288ac000fe208010000001976a914948c765a6914d4
+    3f2a7ac177da2c2f6b52de3d7c88ac00000000
+    """
+)
+
+# Bitcoin transaction 5aa8e36f9423ee5fcf17c1d0d45d6988b8a5773eae8ad25d945bf34352040009, which spends the first output of the one before.
+SPENDING_TX = bytes.fromhex(
+    """
+    01000000098233beef0f3af0855623eeba09e96cf062e7afaf5c5af1668e35b68d11ca1d79010000008b483045022100dcd443f70a1ca9246d1271842d4725db4b3f90d72690555a545bbeaf50f9bfd8
+    022035ba5c03384bd93c5b33540fa83bc5c46001f8e05ab53d32299758fbaf1ff22d0141044888318b7c43164f3bb2de4599e7fe08b60da985ce7de7b9af68e140e48f26539c9dfc5df37d14586c086a
+    b496a74f060fc3d5e941cbea2fad6c40a3193ba5eaffffffff03bd76c6157da48e47a42474a9eb01b514f85b8e0abc0126c1623a6651526b35010000008a47304402207eaca01fccabdb82921157278f
+    743b89fa9d5354d627ae65b1f60cb45b51f3130220039f1af96b26b46ec7c21ab4583dcab38b6a2d9fc3b79eff600071767e4c8d9601410427332771d3d7da5e4feca7cc5dac712ddf9537637966d161
+    ae1cead99dffadad5d994d0a9c2ada8ae0ca3cd12150bbc9c4c85ef2c97952dba9dda76aaa03a528ffffffff0e641a894cf18e974d55654a9be1b35022d010968ded769f657f12fca167919b00000000
+    8a47304402202758c2225501af4c4fafc0f6bc7792aaa25b4599e0011bd29d104736a9c507f10220084f5c1bdfdca0938562f221af93bd5551257fcb41cfe063fdf59ecd286f074b014104f46db5e9d6
+    1a9dc27b8d64ad23e7383a4e6ca164593c2527c038c0857eb67ee8e825dca65046b82c9331586c82e0fd1f633f25f87c161bc6f8a630121df2b3d3ffffffff3ecbb109358ddc26df7d96758078b1523c
+    7a95877d45290c8fb1b2dad695f3be010000008a473044022000d848d59c30e95ec72bb66565c39df6ad50b136f21ff160722c14e5fcf1b7a90220324bc6715ed70a10ccb793fe97f37f035e53857798
+    080680127cacf67ea63285014104fbde61e09918ca461345c5bed2380f0d4c0cc02177460be6a52e70b6af0ebfbddbdfeb1a99860655084080064275a8380aaf8d1551d18730516b975af47c6bb7ffff
+    ffff9bcb0505c429acc0a3f467f2a98ef742641eccd2c18519bc9885e2b450d098a8000000008c493046022100f043b7b3e19f01095cb315657fe1be9c2962a3a1b43417682b48508dd2c455d6022100
+    abf5cde3b8aeca869e613eb1dd14e3628e2f8a77a65192da8b57b8be3ab12083014104dc71d7d5090af35d5ec7285b4244baa65e3d96b2923326358c509df50623bc9403d0cb77048b4e3b0c77480967
+    4913a2eb309939b9a8669430fec84d18ddfe71ffffffffa3ed30e4115cbe4c6bc23fcbabbc2a3b06dcb634a4bbf20be0c4b36f0b8329a5000000008a4730440220076fcb83dfed0bb2beba4a45397705
+    e9786681da2a825f5ff18771d4c0509615022065d1b5a41099ca2ecdd3c6fa4dcae48cf5d4b8003c47fa9e161a35d225b85e6d0141047e868eefc8e24ff89af5017da1baf8fc528c7566ed2026cc8024
+    4ba76a0adbca50ba4d2e0ec4744c4d55ab6a3f442657f9d0981099d2e4e3339e210c6efee647ffffffffc40297f730dd7b5a99567eb8d27b78758f607507c52292d02d4031895b52f2ff000000008b48
+    304502202f3fa1413d769eee26c2ecef3f3ef826b52bc40fcaa177fcb60a238c24ad306a022100a82a2bd54f8874b4142f76b127189a9bf4d0c5f4c43dbd71bbdccdf58f0e3f9b014104ef709b537956
+    7ce8b5b2c4bd0efd01ff1b6f56dcd213937f56ac2370202630a7d1fd5086b5e806090857a0a009b08a87ce283274d8178d71b4f2718d790645ebffffffffca5065ff9617cbcba45eb23726df6498a9b9
+    cafed4f54cbab9d227b0035ddefb010000008c493046022100cabd732acf7306b9565e676179b3d144cc5af5de2d0618d700ba2863a53da662022100aa2cff8a4164904a6b1a6ef0279f022bc7a02dfa
+    9a59b88ef50a87efdbf0f5ef01410456d53467bd7d2afc5ca6003e510dec95d59d658b9e3e8af4950f170f392e8aafbb8387bc1eba8ea5d4e27dad8a2c603966f2e0e0618dd78847b39fd8cf7f81d5ff
+    fffffff98a5264d2dfe181a9bcf1dd5b80d249de240242b79419a85ab20fd5190b8f1a000000008b48304502201410751ad9a8c5689895fa8861481757cea323b8310e6cf18ec8c90d2feb6bfe022100
+    d94e567ebef06ffb06c5ad678f50778cd687780ff7c3df3fea177b78e3f762220141041609784269e43dcc8bd9918e06b868f5c1f171408ad26543753aad9dc7791c57af9e0da56abc6b3b528db27707
+    60c9bd0c06669620945446515a98f8573e7c07ffffffff0180379d1c020000001976a9149490023a1f27c8f0956a963f365f726872dc359288ac00000000
+    """
+)
