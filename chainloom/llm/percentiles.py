@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainloom.session import BROADCAST_ROWS, Saved, small_side
+from chainloom.session import BROADCAST_BYTES, Saved, fits
 
 #: Bits of one digit.
 DIGIT = 16
@@ -55,28 +55,43 @@ def radix_state(df: DataFrame, groups: Sequence[str], value: str, bits: int = ST
     return rows.groupBy(*groups, "key").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def radix_select(df: DataFrame, groups: Sequence[str], key: str, quantiles: Sequence[float], weight: str | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+def _same(groups: Sequence[str], prefix) -> Column:
+    """Whether the group and the prefix of a row are those of the digits followed, which have other names."""
+    same = prefix == F.col("__p")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+    return same
+
+
+def radix_select(df: DataFrame, groups: Sequence[str], key: str, quantiles: Sequence[float], weight: str | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
     """(groups..., n, q, value) with the key at rank max(1, ceil(q * n)) of each group, n being its weight.
 
     Null keys are left out; a group without any other has no rows. Null groups are groups of their own. Ties share ranks as
-    in a sorted list. `df` is read once for each digit, so hand in a written table. Only histograms are shuffled. The
-    digits being followed (one for each group and quantile at most) are broadcast if counted at most `limit`, else joined.
+    in a sorted list. `df` is read once for each digit, so hand in a written table. Only histograms are shuffled, as long as the
+    digits being followed (one for each group and quantile at most) take at most `limit` bytes and are broadcast. Beyond it equal keys of
+    a group are first added up to one row, and each digit leaves only the rows behind it to the next, written; a group that holds
+    much of them is split by AQE.
     """
     rows = df.where(F.col(key).isNotNull()).select(*groups, F.col(key).alias("__key"), (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("__w"))
-    wanted = None
+    wanted, narrowed = None, None
     for shift in range(64 - DIGIT, -1, -DIGIT):
         digit = F.shiftright("__key", shift)
         if wanted is None:
-            level = rows.select(*groups, F.lit(0).cast("bigint").alias("__prefix"), digit.alias("__digit"), "__w")
+            level, old = rows.withColumn("__prefix", F.lit(0).cast("bigint")), None
         else:
-            side = small_side(wanted, limit).select(*[F.col(g).alias(f"__g_{g}") for g in groups], F.col("__prefix").alias("__p")).distinct()
-            if wanted.count() <= limit:
-                side = F.broadcast(side)
-            same = F.shiftright("__key", shift + DIGIT) == F.col("__p")
-            for g in groups:
-                same = same & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
-            level = rows.join(side, same).select(*groups, F.col("__p").alias("__prefix"), digit.alias("__digit"), "__w")
-        counts = level.groupBy(*groups, "__prefix", "__digit").agg(F.sum("__w").alias("__w"))
+            small = fits(wanted, limit)
+            renamed = wanted.df.select(*[F.col(g).alias(f"__g_{g}") for g in groups], F.col("__prefix").alias("__p"), "n", "q", "__rank")
+            side = renamed.select(*[f"__g_{g}" for g in groups], "__p").distinct()
+            old, side = (F.broadcast(renamed), F.broadcast(side)) if small else (renamed, side)
+            if not small and narrowed is None:
+                rows = rows.groupBy(*groups, "__key").agg(F.sum("__w").alias("__w"))
+            level = rows.join(side, _same(groups, F.shiftright("__key", shift + DIGIT))).select(*groups, "__key", F.col("__p").alias("__prefix"), "__w")
+            if not small:
+                narrowed, gone = Saved(level, f"rows-{shift}"), narrowed
+                level, rows = narrowed.df, narrowed.df.drop("__prefix")
+                if gone is not None:
+                    gone.drop()
+        counts = level.groupBy(*groups, "__prefix", digit.alias("__digit")).agg(F.sum("__w").alias("__w"))
         order = W.partitionBy(*groups, "__prefix").orderBy("__digit")
         counts = counts.withColumn("__to", F.sum("__w").over(order.rowsBetween(W.unboundedPreceding, 0)))
         if wanted is None:
@@ -84,15 +99,13 @@ def radix_select(df: DataFrame, groups: Sequence[str], key: str, quantiles: Sequ
             counts = counts.withColumn("n", F.sum("__w").over(all_of)).withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
             counts = counts.withColumn("__rank", F.greatest(F.ceil(F.col("q") * F.col("n")), F.lit(1)).cast("bigint"))
         else:
-            old = small_side(wanted, limit).select(*[F.col(g).alias(f"__g_{g}") for g in groups], F.col("__prefix").alias("__p"), "n", "q", "__rank")
-            same = F.col("__prefix") == F.col("__p")
-            for g in groups:
-                same = same & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
-            counts = counts.join(old, same)
+            counts = counts.join(old, _same(groups, F.col("__prefix")))
         hit = (F.col("__rank") <= F.col("__to")) & (F.col("__rank") > F.col("__to") - F.col("__w"))
         rank = F.col("__rank") - (F.col("__to") - F.col("__w"))
         found = counts.where(hit).select(*groups, "n", "q", rank.alias("__rank"), F.col("__digit").alias("__prefix"))
         done, wanted = wanted, Saved(found, f"digits-{shift}")
         if done is not None:
             done.drop()
+    if narrowed is not None:
+        narrowed.drop()
     return wanted.df.select(*groups, "n", "q", F.col("__prefix").alias("value"))
