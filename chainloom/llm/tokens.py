@@ -10,28 +10,31 @@ distinct words, encode each once, and bring the ids back. A word that stands eve
 from __future__ import annotations
 
 import base64
+import sys
 from collections.abc import Iterator
+from functools import partial
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.session import Saved
+from chainloom.session import Saved, small_side
 
 #: Default folder of the tokenizer files, described in its README.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
-# The tokenizer's word pattern, with its white space written out as Java's \s is ASCII only.
-SPACE = r"\t-\r \u0085\p{Z}"
-PATTERN = (
-    rf"'(?:[stmd]|re|ve|ll)| ?(?:\p{{L}}++|\p{{N}}++|[^{SPACE}\p{{L}}\p{{N}}]++)"
-    rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-)
+# Fixed value: the tokenizer's word pattern.
 TIKTOKEN_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
+#: White space as the tokenizer sees it, written out as Java's \s is ASCII only.
+SPACE = r"\t-\r \u0085\p{Z}"
+#: The word pattern for Java, whose $ also matches before a last line end.
+PATTERN = TIKTOKEN_PATTERN.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]").replace("$", r"\z")
+
 # Before a space that isn't inside white space a word always ends, so a text may as well be cut before its spaces, which is much
 # faster. Not so where a space stands between white space, and not in scripts written without spaces: there pieces would seldom repeat.
 BY_PATTERN = rf"[{SPACE}] [{SPACE}]|[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF]"
@@ -42,6 +45,7 @@ MARK = "\0"
 #: Words of one chunk; a chunk is what one task decodes at a time. A single longer text is a chunk of its own.
 CHUNK_WORDS = 1_000_000
 
+
 def ranks(folder: str = TOKENIZERS) -> dict[bytes, int]:
     """Piece to id of the vocabulary file."""
     with open(f"{folder}/{VOCABULARY}", "rb") as f:
@@ -49,13 +53,13 @@ def ranks(folder: str = TOKENIZERS) -> dict[bytes, int]:
 
 
 def encoder(folder: str = TOKENIZERS):
-    """The tokenizer, loaded once a Python process; kept in the library's module, as this one's globals travel with each task."""
+    """The tokenizer, loaded once a Python process: this module's globals travel with each task, so it is kept in one that stays."""
     import tiktoken
 
-    loaded = tiktoken.__dict__.setdefault("loaded_by_folder", {})
-    if folder not in loaded:
-        loaded[folder] = tiktoken.Encoding("bytes", pat_str=TIKTOKEN_PATTERN, mergeable_ranks=ranks(folder), special_tokens={})
-    return loaded[folder]
+    kept = sys.modules.setdefault("chainloom_loaded_tokenizers", ModuleType("chainloom_loaded_tokenizers")).__dict__
+    if folder not in kept:
+        kept[folder] = tiktoken.Encoding("bytes", pat_str=TIKTOKEN_PATTERN, mergeable_ranks=ranks(folder), special_tokens={})
+    return kept[folder]
 
 
 def _cuts(lens: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -78,15 +82,26 @@ def _split(marked: pa.Array, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _chunks(batches):
-    """Rows of documents and words as chunks: one row with the coded documents, one for each distinct word."""
+def _text_words(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    return _split(batch.column(1), batch.column(2))
+
+
+def _listed_ids(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    """(ids of all lists, their numbers by list); a null list is an empty one."""
+    lists = batch.column(1)
+    lists = pc.if_else(pc.is_valid(lists), lists, pa.scalar([], lists.type))
+    return lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _chunks(batches, parts=_text_words):
+    """Rows of documents and words (or ids) as chunks: one row with the coded documents, one for each distinct word."""
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 32
     names = ["chunk", "i", "word", "docs", "lens", "codes"]
     for batch in batches:
         ids = batch.column(0)
-        flat, lens = _split(batch.column(1), batch.column(2))
+        flat, lens = parts(batch)
         at = np.append(0, np.cumsum(lens))
         for a, b in _cuts(lens):
             coded = flat.slice(at[a], at[b] - at[a]).dictionary_encode()
@@ -95,7 +110,7 @@ def _chunks(batches):
             row = [
                 pa.array([number], pa.int64()),
                 pa.array([-1], pa.int32()),
-                pa.nulls(1, pa.string()),
+                pa.nulls(1, flat.type),
                 pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids.slice(a, n)),
                 pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(lens[a:b].astype(np.int32))),
                 pa.array([codes.tobytes()], pa.binary()),
@@ -107,16 +122,15 @@ def _chunks(batches):
             number += 1
 
 
-def _gather(left: pa.Table, right: pa.Table) -> tuple[pa.Array, pa.Array, np.ndarray, pa.ListArray]:
-    """Of one chunk: its documents, their numbers of words, the words by position, and the ids by code."""
+def _gather(left: pa.Table, right: pa.Table, values: str = "ids") -> tuple[pa.Array, pa.Array, np.ndarray, pa.Array]:
+    """Of one chunk: its documents, their numbers of words, the words by position, and the `values` by code."""
     docs = left.column("docs").combine_chunks().flatten()
     lens = left.column("lens").combine_chunks().flatten()
     raw = left.column("codes")[0].as_py()
     found = right.num_rows
     codes = np.frombuffer(raw, np.uint16 if found <= 65536 else np.uint32)
     order = np.argsort(right.column("i").to_numpy())
-    ids = right.column("ids").combine_chunks()
-    return docs, lens, codes, ids.take(pa.array(order))
+    return docs, lens, codes, right.column(values).combine_chunks().take(pa.array(order))
 
 
 def _ids(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -173,26 +187,38 @@ def token_counts(docs: DataFrame, doc: str = "doc_id", text: str = "text", folde
     return _encoded(docs, doc, text, folder, _counts, "doc_id {}, n_tokens bigint")
 
 
+def vocabulary(spark: SparkSession, folder: str = TOKENIZERS) -> DataFrame:
+    """(word, piece): the id-to-piece table, one row for each id of the vocabulary."""
+    known = ranks(folder)
+    return spark.createDataFrame(pa.table([pa.array(known.values(), pa.int32()), pa.array(known.keys(), pa.binary())], names=["word", "piece"]))
+
+
+def _texts(left: pa.Table, right: pa.Table) -> pa.Table:
+    docs, lens, codes, pieces = _gather(left, right, "piece")
+    if pieces.null_count:
+        raise ValueError("ids that the vocabulary doesn't have")
+    ends = np.append(0, np.cumsum(lens.to_numpy())).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pieces.take(pa.array(codes)))
+    joined = pc.binary_join(lists, b"")
+    try:
+        text = joined.cast(pa.string())
+    except pa.ArrowInvalid:
+        text = pa.array([b.decode("utf-8", "replace") for b in joined.to_pylist()], pa.string())
+    return pa.table([docs, text], names=["doc_id", "text"])
+
+
 def decode(encoded: DataFrame, doc: str = "doc_id", ids: str = "ids", folder: str = TOKENIZERS) -> DataFrame:
-    """(doc, text): the text of each list of ids, by position from the id-to-piece table of the vocabulary.
+    """(doc, text): the text of each list of ids, by a join with the id-to-piece table of the vocabulary.
 
-    That table has one row for each id of the vocabulary, 50,256, and sits beside every task. A null or empty list gives the
-    empty text; bytes that are no UTF-8 become U+FFFD; an id outside of the table fails.
+    As in encoding, a chunk of documents keeps its ids as positions in its list of distinct ids, and only those lists are joined. A null or empty
+    list gives the empty text; bytes that are no UTF-8 become U+FFFD; an id outside of the table fails. Every row comes out once.
     """
     kind = encoded.schema[doc].dataType.simpleString()
-
-    def join(batches):
-        by_id = sorted(ranks(folder).items(), key=lambda x: x[1])
-        pieces = pa.array([p for p, _ in by_id], pa.binary())
-        for batch in batches:
-            lists = batch.column(1)
-            lists = pc.if_else(pc.is_valid(lists), lists, pa.scalar([], lists.type))
-            texts = pa.ListArray.from_arrays(lists.offsets, pieces.take(lists.values))
-            joined = pc.binary_join(texts, b"")
-            try:
-                text = joined.cast(pa.string())
-            except pa.ArrowInvalid:
-                text = pa.array([b.decode("utf-8", "replace") for b in joined.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), text], names=["doc", "text"])
-
-    return encoded.select(F.col(doc).alias("doc"), F.col(ids).alias("ids")).mapInArrow(join, f"doc {kind}, text string").withColumnRenamed("doc", doc)
+    rows = encoded.select(F.col(doc).alias("doc"), F.col(ids).cast("array<int>").alias("ids"))
+    chunks = rows.mapInArrow(partial(_chunks, parts=_listed_ids), f"chunk bigint, i int, word int, docs array<{kind}>, lens array<int>, codes binary")
+    chunks = Saved(chunks, "id-chunks")
+    pieces = Saved(vocabulary(encoded.sparkSession, folder), "vocabulary")
+    back = chunks.df.where("i >= 0").select("chunk", "i", "word").join(small_side(pieces), "word", "left").select("chunk", "i", "piece")
+    coded = chunks.df.where("i < 0").select("chunk", "docs", "lens", "codes")
+    texts = coded.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_texts, f"doc_id {kind}, text string")
+    return texts.withColumnRenamed("doc_id", doc)
