@@ -2,20 +2,23 @@
 
 The documents of a source stand in a shuffled line, repeated as often as its cap allows, each pass in another order. A
 document finishes at virtual time (tokens of its line up to its end) / (weight of its source). All lines are merged in the order of their finish
-times and cut off where the total budget is used up. Running totals are sums of bucket totals plus a short sum within a
-bucket, so that neither a source nor the merged line is ever sorted in one task.
+times and cut off where the total budget is used up. Within a line running totals are sums of bucket totals plus a short sum within a
+bucket. The merged line is sorted by range over all tasks; each adds up its own range, and the totals of the ranges before it are added. So
+neither a source nor the merged line is ever sorted in one task.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chainloom.functions.normalise import clean_name
-from chainloom.session import BROADCAST_ROWS, Saved, small_side
+from chainloom.session import Saved, fits, small_side
 
 #: Documents that one bucket of a line holds on average.
 BUCKET_DOCS = 20_000
@@ -34,13 +37,23 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return wanted.join(have, "source", "left").select("source", "target_share", "max_repeats", *zero)
 
 
+#: Bits of a document's place in the shuffled line of a pass.
+PLACE_BITS = 60
+
+
+def _place(seed: int):
+    """Where a document stands in the shuffled line of its pass: the leading bits of a digest."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", "doc_id", "pass", F.lit(seed)).cast("binary")), 1, PLACE_BITS // 4), 16, 10).cast("bigint")
+
+
 USED = "target_share > 0 AND max_repeats > 0 AND n_tokens > 0"
 
 
 def feasible(plan_rows: DataFrame) -> tuple[float, int]:
     """(virtual time, tokens) up to which every source that has documents can keep its share."""
     end = F.min(F.col("n_tokens") * F.col("max_repeats") / F.col("target_share")).alias("t")
-    t, share = plan_rows.where(USED).agg(end, F.sum("target_share")).first()
+    share = F.sum(F.col("target_share").cast("decimal(38,18)")).cast("double")  # the same in whatever order rows come
+    t, share = plan_rows.where(USED).agg(end, share).first()
     return (t, math.floor(t * share)) if t is not None else (0.0, 0)
 
 
@@ -75,12 +88,12 @@ def mix(sizes: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
     bits = max(1, math.ceil(math.log2(max(2, longest / BUCKET_DOCS))))
 
     used = small_side(lines).where(USED).select("source", "target_share", F.col("n_tokens").alias("line"), F.least(F.col("max_repeats").cast("bigint"), F.ceil(F.lit(end) * F.col("target_share") / F.col("n_tokens"))).alias("passes"))
-    if lines.count() <= BROADCAST_ROWS:
+    if fits(lines):
         used = F.broadcast(used)
     docs = sizes.where("n_tokens > 0").select("doc_id", "source", "n_tokens").join(used, "source").where("passes > 0")
     docs = docs.withColumn("pass", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("passes"))))
-    docs = docs.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "pass", F.lit(seed)), 1))
-    docs = docs.withColumn("b", F.shiftright("h", 63 - bits))
+    docs = docs.withColumn("h", _place(seed))
+    docs = docs.withColumn("b", F.shiftright("h", PLACE_BITS - bits))
 
     bucket = docs.groupBy("source", "pass", "b").agg(F.sum("n_tokens").alias("s"), F.first("line").alias("line"))
     before = W.partitionBy("source", "pass").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
@@ -91,14 +104,24 @@ def mix(sizes: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
     lined = lined.withColumn("finish", (F.col("offset") + F.col("run")) / F.col("target_share")).where(F.col("finish") <= end)
     lined = Saved(lined.select("doc_id", "source", "pass", "n_tokens", "h", "finish"), "lines")
 
-    slots = max(1, math.ceil(lined.count() / BUCKET_DOCS))
-    timed = lined.df.withColumn("slot", F.least(F.floor(F.col("finish") / F.lit(end or 1.0) * slots), F.lit(slots - 1)))
-    total = timed.groupBy("slot").agg(F.sum("n_tokens").alias("s"))
-    earlier = W.partitionBy(F.lit(0)).orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
-    total = total.select(F.col("slot").alias("s1"), F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("offset"))
-    inside = W.partitionBy("slot").orderBy("finish", "source", "pass", "h", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, 0)
-    merged = timed.withColumn("run", F.sum("n_tokens").over(inside)).join(total, F.col("slot") == F.col("s1"))
-    merged = merged.withColumn("end_token", F.col("offset") + F.col("run")).where(F.col("end_token") <= most)
+    order = ["finish", "source", "pass", "h", "doc_id", "n_tokens"]
+    ranged = lined.df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.lit(0)).withColumn("run", F.lit(0).cast("bigint"))
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            sums = total + np.cumsum(batch.column("n_tokens").to_numpy())
+            total = int(sums[-1]) if len(sums) else total
+            columns = dict(zip(batch.schema.names, batch.columns)) | {"part": pa.array(np.full(len(sums), part, np.int32)), "run": pa.array(sums.astype(np.int64))}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in batch.schema.names], batch.schema.names)
+
+    merged = Saved(ranged.mapInArrow(run, ranged.schema), "merged").df
+    earlier = W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row for each task
+    total = merged.groupBy("part").agg(F.max("run").alias("s")).select(F.col("part").alias("p1"), F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("offset"))
+    total = Saved(total, "ranges")
+    merged = merged.join(small_side(total), F.col("part") == F.col("p1")).withColumn("end_token", F.col("offset") + F.col("run")).where(F.col("end_token") <= most)
     records = merged.select("doc_id", "source", F.col("pass").cast("int").alias("pass"), "n_tokens", "finish", "end_token")
 
     taken = records.groupBy("source").agg(F.count(F.lit(1)).alias("n_records"), F.sum("n_tokens").alias("taken"), F.max("pass").alias("passes"))
