@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chainloom.functions.normalise import BLANKS
-from chainloom.session import BROADCAST_ROWS
+from chainloom.session import Saved, small_side
 
 #: Columns of the presence matrix; n-grams are hashed to them.
 COLUMNS = 4096
@@ -187,8 +187,7 @@ def label_codes(docs: DataFrame, names: DataFrame, label: str = "lang") -> DataF
     bare = F.regexp_replace(F.lower(F.btrim(F.col(label), F.lit(BLANKS))), "[-_].*$", "")
     known = names.select(F.col("code").alias("label_code"), F.explode(F.array(*[F.lower(F.btrim(F.col(c), F.lit(BLANKS))) for c in ("code", "code3", "english_name")])).alias("__name"))
     known = known.where("__name IS NOT NULL AND label_code IS NOT NULL").groupBy("__name").agg(F.min("label_code").alias("label_code"))
-    side = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-    return docs.drop("label_code").withColumn("__bare", bare).join(side, F.col("__bare") == F.col("__name"), "left").drop("__bare", "__name")
+    return docs.drop("label_code").withColumn("__bare", bare).join(small_side(Saved(known, "names")), F.col("__bare") == F.col("__name"), "left").drop("__bare", "__name")
 
 
 def train(docs: DataFrame, doc: str = "doc_id", text: str = "text", limit: int = FIT_DOCS) -> Model:
