@@ -24,9 +24,13 @@ from chainloom.session import Saved, small_side
 
 #: Columns of the presence matrix; n-grams are hashed to them.
 COLUMNS = 4096
+#: Column with the path of a row's file.
+FILE = "__file"
 #: The model is fitted on this many labelled documents at most, and this many sentences of each.
 FIT_DOCS = 4000
 FIT_SENTENCES = 4
+#: Those documents come from this many files at most, so that fitting doesn't read the texts of a large corpus a second time.
+FIT_FILES = 256
 LANDMARKS = 600
 RIDGE = 0.003
 #: A sentence's best score must reach this, and lead the next by LEAD, to name its language.
@@ -193,10 +197,14 @@ def label_codes(docs: DataFrame, names: DataFrame, label: str = "lang") -> DataF
 def train(docs: DataFrame, doc: str = "doc_id", text: str = "text", limit: int = FIT_DOCS) -> Model:
     """A model fitted on the first `limit` labelled documents (of label_codes) in the order of a hash of their id and label.
 
-    The bound is `limit` documents and FIT_SENTENCES whole sentences of each; more never reach the driver. Without a label
+    The bound is `limit` documents and FIT_SENTENCES whole sentences of each; more never reach the driver. If `docs` has the path of each
+    row's file as FILE, only the first FIT_FILES files in the order of a hash of their paths are read. Without a label
     or whole sentence anywhere the model names no language.
     """
     labelled = docs.where(F.col("label_code").isNotNull())  # choosing documents needs no text, so none is read for it
+    if FILE in docs.columns:
+        files = labelled.select(FILE).distinct().orderBy(F.xxhash64(FILE), FILE).limit(FIT_FILES)
+        labelled = labelled.where(F.col(FILE).isin([r[0] for r in files.collect()]))
     order = F.xxhash64(F.col(doc), F.col("label_code"), F.lit(1))
     chosen = labelled.select(F.col(doc).alias("__doc"), order.alias("__o")).orderBy("__o", "__doc").limit(limit)
     chosen = chosen.select("__doc", "__o").distinct()

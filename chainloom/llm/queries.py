@@ -220,7 +220,8 @@ s AS (SELECT source, share AS target_share, CAST(reps AS INT) AS max_repeats, n_
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.label_codes(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "lang_names"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.col("_metadata.file_path").alias(language.FILE))
+    return language.label_codes(docs, table(spark, sf_dir, "lang_names"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,6 +219,21 @@ def test_held_out_accuracy(trained):
     assert sure.min() > 0.5
 
 
+def test_fitting_reads_a_bounded_number_of_files(spark, trained, monkeypatch, tmp_path):
+    rng = random.Random(12)
+    rows = [(i, " ".join(sentence(c, rng) for _ in range(3)), c) for i, c in enumerate(rng.choices(list(FORMS), k=120))]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    trained[0].write.parquet(f"{tmp_path}/lang_names.parquet")
+    docs = queries._labelled(spark, str(tmp_path))
+    names = sorted(r[0] for r in docs.select(language.FILE).distinct().collect())
+    assert len(names) > 2
+    monkeypatch.setattr(language, "FIT_FILES", 2)
+    assert language.train(docs).langs == sorted(FORMS)
+    plan = docs.where(F.col(language.FILE).isin(names[:2])).select("text")
+    assert plan.rdd.getNumPartitions() <= 2 and 0 < plan.count() < 120
+    assert {(r.doc_id, r.lang) for r in language.found(docs, language.train(docs)).collect()} == set()
+
+
 def test_nothing_to_learn(spark, trained):
     docs = language.label_codes(spark.createDataFrame([(1, "text", None), (2, None, "en")], "doc_id bigint, text string, lang string"), trained[0])
     model = language.train(docs)
