@@ -10,75 +10,81 @@ ZERO_HASH = "0" * 64
 #: Epoch values from here on are milliseconds, and from here times 1000 microseconds.
 MILLIS_FROM = 100_000_000_000
 
+# Each function takes a column's name and hands Spark one expression as text, which is parsed once where building it from columns takes
+# dozens of calls.
+_BLANKS = r"' \t\r\n'"
 
-def clean_hash(col: Column) -> Column:
-    """A hash as lower-case hex without blanks and 0x; null stays null, blank gives the empty string.
 
-    The column occurs once in the expression, so that nothing is evaluated twice.
-    """
-    return F.regexp_replace(F.lower(F.btrim(col, F.lit(BLANKS))), "^0x", "")
+def _clean_hash(c: str) -> str:
+    return f"regexp_replace(lower(btrim({c}, {_BLANKS})), '^0x', '')"
+
+
+def _real_hash(c: str) -> str:
+    return f"regexp_replace(lower(btrim({c}, {_BLANKS})), '^(?:0x)?(?:0{{64}}$)?', '')"
+
+
+def _hash_bytes(h: str) -> str:
+    text = f"encode(concat(if(octet_length({h}) = 31, '!!', '?'), {h}), 'UTF-8')"
+    return f"CASE WHEN length({h}) = 64 THEN coalesce(unhex({h}), {text}) WHEN length({h}) > 0 THEN {text} END"
+
 
+def clean_hash(c: str) -> Column:
+    """A hash as lower-case hex without blanks and 0x; null stays null, blank gives the empty string."""
+    return F.expr(_clean_hash(c))
 
-def real_hash(col: Column) -> Column:
+
+def real_hash(c: str) -> Column:
     """clean_hash, with the empty string also for the all-zero hash, which refers to nothing."""
-    return F.regexp_replace(F.lower(F.btrim(col, F.lit(BLANKS))), "^(?:0x)?(?:0{64}$)?", "")
+    return F.expr(_real_hash(c))
 
 
-def hash_bytes(h: Column) -> Column:
+def hash_bytes(c: str) -> Column:
     """The 32 bytes of a cleaned hash; of other text its UTF-8 bytes behind a sign, so that they are never 32; null for null and empty."""
-    text = F.encode(F.concat(F.when(F.octet_length(h) == 31, F.lit("!!")).otherwise(F.lit("?")), h), "UTF-8")
-    return F.when(F.length(h) == 64, F.coalesce(F.unhex(h), text)).when(F.length(h) > 0, text)
+    return F.expr(_hash_bytes(c))
 
 
-def hash_of(col: Column) -> Column:
+def hash_of(c: str) -> Column:
     """hash_bytes of a hash as it stands. 64 hex digits, as nearly all hashes are, need no cleaning."""
-    return F.coalesce(F.when(F.octet_length(col) == 64, F.unhex(col)), hash_bytes(clean_hash(col)))
+    return F.expr(f"coalesce(CASE WHEN octet_length({c}) = 64 THEN unhex({c}) END, {_hash_bytes(_clean_hash(c))})")
 
 
-def real_hash_of(col: Column) -> Column:
+def real_hash_of(c: str) -> Column:
     """hash_of, with null also for the all-zero hash, which refers to nothing."""
-    return F.coalesce(F.when((F.octet_length(col) == 64) & (col != ZERO_HASH), F.unhex(col)), hash_bytes(real_hash(col)))
+    return F.expr(f"coalesce(CASE WHEN octet_length({c}) = 64 AND {c} <> '{ZERO_HASH}' THEN unhex({c}) END, {_hash_bytes(_real_hash(c))})")
 
 
-def hash_text(b: Column) -> Column:
+def hash_text(c: str) -> Column:
     """The cleaned text that hash_bytes had."""
-    rest = F.when(F.substring(b, 1, 2) == F.lit(b"!!"), F.substring(b, 3, 1 << 30)).otherwise(F.substring(b, 2, 1 << 30))
-    return F.when(F.octet_length(b) == 32, F.lower(F.hex(b))).otherwise(rest.cast("string"))
+    return F.expr(f"CASE WHEN octet_length({c}) = 32 THEN lower(hex({c})) WHEN substring({c}, 1, 2) = X'2121' THEN cast(substring({c}, 3) AS string) ELSE cast(substring({c}, 2) AS string) END")
 
 
-def clean_address(col: Column) -> Column:
+def clean_address(c: str) -> Column:
     """An address without blanks, bc1 forms in lower case; null where there is none.
 
     Few addresses have blanks other than spaces around them; only those take the slower way.
     """
-    t = F.trim(col)
-    odd = [f(F.lit(x)) for x in "\t\r\n" for f in (t.startswith, t.endswith)]
-    some = odd[0]
-    for x in odd[1:]:
-        some = some | x
-    t = F.when(some, F.btrim(col, F.lit(BLANKS))).otherwise(t)
-    return F.nullif(F.when(F.lower(F.substring(t, 1, 3)) == "bc1", F.lower(t)).otherwise(t), F.lit(""))
+    odd = " OR ".join(f"{f}(trim({c}), '{x}')" for x in (r"\t", r"\r", r"\n") for f in ("startswith", "endswith"))
+    t = f"CASE WHEN {odd} THEN btrim({c}, {_BLANKS}) ELSE trim({c}) END"
+    return F.expr(f"nullif(CASE WHEN lower(substring({t}, 1, 3)) = 'bc1' THEN lower({t}) ELSE {t} END, '')")
 
 
-def clean_name(col: Column) -> Column:
+def clean_name(c: str) -> Column:
     """A coin or source name without blanks and in lower case; blank gives null."""
-    return F.nullif(F.lower(F.btrim(col, F.lit(BLANKS))), F.lit(""))
+    return F.expr(f"nullif(lower(btrim({c}, {_BLANKS})), '')")
+
+
+def _epoch_seconds(c: str) -> str:
+    return f"CASE WHEN {c} <= 0 THEN NULL WHEN {c} >= {MILLIS_FROM * 1000} THEN {c} DIV 1000000 WHEN {c} >= {MILLIS_FROM} THEN {c} DIV 1000 ELSE {c} END"
 
 
-def epoch_seconds(col: Column) -> Column:
+def epoch_seconds(c: str) -> Column:
     """Block time in seconds; null for null, zero and negative values."""
-    return (
-        F.when(col <= 0, None)
-        .when(col >= MILLIS_FROM * 1000, F.floor(col / 1_000_000))
-        .when(col >= MILLIS_FROM, F.floor(col / 1000))
-        .otherwise(col)
-        .cast("bigint")
-    )
+    return F.expr(f"cast({_epoch_seconds(c)} AS bigint)")
 
 
-def epoch_day(col: Column) -> Column:
+def epoch_day(c: str) -> Column:
     """The UTC date of a block time."""
-    return F.to_date(F.timestamp_seconds(epoch_seconds(col)))
+    return F.expr(f"to_date(timestamp_seconds({_epoch_seconds(c)}))")
 
 
 _SQL_BLANKS = "' ' || chr(9) || chr(13) || chr(10)"

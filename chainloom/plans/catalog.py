@@ -117,7 +117,7 @@ def _index_bytes(n) -> F.Column:
 def _index(spark, d) -> DataFrame:
     """Index records of all loaded blocks, dropped ones too, read from keys and values put together from the columns."""
     rows = table(spark, d, "blocks").where("hash IS NOT NULL AND height IS NOT NULL").select(
-        "id", hash_text(hash_of(F.col("hash"))).alias("block_hash"), "version", "height", F.when(F.col("dropped_at").isNull(), 13).otherwise(1).cast("bigint").alias("status"),
+        "id", hash_text(hash_of("hash")).alias("block_hash"), "version", "height", F.when(F.col("dropped_at").isNull(), 13).otherwise(1).cast("bigint").alias("status"),
         F.col("blocksize").alias("tx_count"), F.floor(F.col("id") / 100).alias("blk_index"), (F.col("id") * 1000).alias("data_offset"),
     ).na.fill({"version": 0, "tx_count": 0}).where(F.length("block_hash") == 64)
     value = F.unhex(F.concat(*[_index_bytes(F.col(c)) for c in codec.INDEX_FIELDS]))
@@ -208,7 +208,7 @@ def spent_flag(spark, d):
 
 @query(f"SELECT {ledger.sql_address('address')} AS address, CAST(sum(value) * CAST(0.00000001 AS DECIMAL(9,8)) AS DECIMAL(38,8)) AS balance FROM tx_out WHERE unspent GROUP BY 1", plain=True)
 def balances_view(spark, d):
-    rows = table(spark, d, "tx_out").select(ledger.clean_address(F.col("address")).alias("address"), "value", "unspent")
+    rows = table(spark, d, "tx_out").select(ledger.clean_address("address").alias("address"), "value", "unspent")
     return views.view_balances(rows)
 
 

@@ -26,19 +26,19 @@ def _first(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def _hash(c: str):
     """The bytes of a hash, null where there is none; zeros stay."""
-    return hash_of(F.col(c))
+    return hash_of(c)
 
 
 def shown(df: DataFrame) -> DataFrame:
     """The relation with its hashes as text."""
-    return df.select(*[hash_text(F.col(c)).alias(c) if c in HASHES else F.col(c) for c in df.columns])
+    return df.select(*[hash_text(c).alias(c) if c in HASHES else F.col(c) for c in df.columns])
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "blocks").where("dropped_at IS NULL")
     rows = rows.select(
-        "id", _hash("hash").alias("block_hash"), clean_name(F.col("coin")).alias("coin"), "height", "version", "blocksize",
-        _hash("hashprev").alias("hash_prev"), _hash("hashmerkleroot").alias("hash_merkle_root"), epoch_seconds(F.col("ntime")).alias("n_time"),
+        "id", _hash("hash").alias("block_hash"), clean_name("coin").alias("coin"), "height", "version", "blocksize",
+        _hash("hashprev").alias("hash_prev"), _hash("hashmerkleroot").alias("hash_merkle_root"), epoch_seconds("ntime").alias("n_time"),
         F.col("nbits").alias("n_bits"), F.col("nnonce").alias("n_nonce"),
     )
     return _first(rows.where("block_hash IS NOT NULL AND coin IS NOT NULL AND height IS NOT NULL"), ["block_hash"])
@@ -57,7 +57,7 @@ def _tx_out(spark: SparkSession, sf_dir: str, txs: DataFrame | None = None) -> D
     rows = table(spark, sf_dir, "tx_out").where("dropped_at IS NULL")
     rows = rows.select(
         "id", _hash("txid").alias("txid"), F.col("indexout").alias("index_out"), "value", F.col("scriptpubkey").alias("script_pubkey"),
-        clean_address(F.col("address")).alias("address"), "unspent", "pattern",
+        clean_address("address").alias("address"), "unspent", "pattern",
     )
     outs = _first(rows.where("txid IS NOT NULL AND index_out IS NOT NULL"), ["txid", "index_out"])
     txs = _transactions(spark, sf_dir) if txs is None else txs

@@ -23,7 +23,7 @@ HEAVY_ONE_IN = 50
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses holding at least 2 percent of the rows of tx_out that have one; every row counts."""
-    rows = table(spark, sf_dir, "tx_out").select(clean_address(F.col("address")).alias("address")).where("address IS NOT NULL")
+    rows = table(spark, sf_dir, "tx_out").select(clean_address("address").alias("address")).where("address IS NOT NULL")
     total = rows.count()
     counts = tree_aggregate(rows, ["address"], [State("n", F.count(F.lit(1)))], splits=input_splits(rows))
     return counts.where(F.col("n") * HEAVY_ONE_IN >= F.lit(total)).select("address")
@@ -43,9 +43,9 @@ def p2_address_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     index stay apart by id. A null value counts as an output but adds nothing.
     """
     rows = table(spark, sf_dir, "tx_out").where("dropped_at IS NULL").select(
-        F.coalesce(hash_of(F.col("txid")), F.encode(F.concat(F.lit("#"), F.col("id")), "UTF-8")).alias("txid"),
+        F.coalesce(hash_of("txid"), F.encode(F.concat(F.lit("#"), F.col("id")), "UTF-8")).alias("txid"),
         F.coalesce(F.col("indexout"), F.col("id")).alias("indexout"),
-        clean_address(F.col("address")).alias("address"),
+        clean_address("address").alias("address"),
         "value",
     )
     outputs = rows.groupBy("txid", "indexout").agg(F.max("address").alias("address"), F.max("value").alias("value"))
@@ -75,7 +75,7 @@ def p5_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     output index names no output and is an orphan.
     """
     txs, outs, ins, blocks = (table(spark, sf_dir, t).where("dropped_at IS NULL") for t in ("transactions", "tx_out", "tx_in", "blocks"))
-    h = {c: real_hash_of(F.col(c)) for c in ("hash", "hashblock", "txid", "hashprevout")}
+    h = {c: real_hash_of(c) for c in ("hash", "hashblock", "txid", "hashprevout")}
     parts = [
         orphans(hash_key(blocks, h["hash"]), hash_key(txs, h["hashblock"], *_kept("transactions")), P5_KEEP, "p5-blocks"),
         orphans(hash_key(txs, h["txid"]), hash_key(outs, h["txid"], *_kept("tx_out")), P5_KEEP, "p5-transactions"),

@@ -22,6 +22,7 @@ def build_session(app: str = "chainloom", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # call sites of every column cost more than building the plan
         "spark.sql.python.filterPushdown.enabled": "true",
         **conf,
     }

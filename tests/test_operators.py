@@ -68,7 +68,7 @@ def test_outputs_without_outpoint_and_coinbases(spark):
 def test_hashes_as_bytes(spark):
     texts = ["AB" * 32, " 0x" + "ab" * 32 + "\n", "0" * 64, "0x" + "0" * 64, "junk", "", "  ", None, "x" * 64, "y" * 31, "é" * 31, "?" + "z" * 31, " " + "c" * 63]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
-    rows = df.select("t", normalise.hash_of(F.col("t")).alias("b"), normalise.real_hash_of(F.col("t")).alias("r"), normalise.clean_hash(F.col("t")).alias("c"), normalise.real_hash(F.col("t")).alias("d")).withColumn("back", normalise.hash_text(F.col("b"))).orderBy("k").collect()
+    rows = df.select("t", normalise.hash_of("t").alias("b"), normalise.real_hash_of("t").alias("r"), normalise.clean_hash("t").alias("c"), normalise.real_hash("t").alias("d")).withColumn("back", normalise.hash_text("b")).orderBy("k").collect()
     assert [r.back for r in rows] == [r.c or None for r in rows]
     assert [r.r is None for r in rows] == [not r.d for r in rows]
     assert {len(r.b) == 32 for r in rows if r.c and set(r.c) <= set("0123456789abcdef") and len(r.c) == 64} == {True}
@@ -77,7 +77,7 @@ def test_hashes_as_bytes(spark):
 
 def test_addresses(spark):
     cases = {" a ": "a", "\t\r\n a\n": "a", "BC1Q ": "bc1q", "Bc1q": "bc1q", "1BC1": "1BC1", "": None, " \n": None, None: None, "a b": "a b"}
-    rows = spark.createDataFrame([(k,) for k in cases], "a string").select("a", normalise.clean_address(F.col("a")).alias("c")).collect()
+    rows = spark.createDataFrame([(k,) for k in cases], "a string").select("a", normalise.clean_address("a").alias("c")).collect()
     assert {r.a: r.c for r in rows} == cases
 
 
@@ -132,7 +132,7 @@ def test_orphans_empty(spark):
 
 def test_hash_keys(spark):
     df = spark.createDataFrame([("ab" * 32, 1), ("junk", 2), (None, 3), ("", 4)], "x string, h int")
-    got = {r.h: (r.p and bytes(r.p), r.n) for r in orphans.hash_key(df, normalise.hash_bytes(F.col("x")), F.col("h")).collect()}
+    got = {r.h: (r.p and bytes(r.p), r.n) for r in orphans.hash_key(df, normalise.hash_bytes("x"), F.col("h")).collect()}
     assert got == {1: (b"\xab" * 26, 0xABABABABABAB), 2: (b"?junk", -1), 3: (None, -1), 4: (None, -1)}
 
 

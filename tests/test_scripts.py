@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from chainloom.functions import exprs, scripts
 from chainloom.functions.codec import merkle_root, shown
-from chainloom.functions.normalise import clean_address, clean_hash, clean_name, epoch_seconds, hash_bytes, real_hash
+from chainloom.functions.normalise import clean_address, clean_hash, clean_name, epoch_seconds, real_hash, real_hash_of
 
 # Published scripts with their patterns and addresses.
 BITCOIN = [
@@ -93,10 +93,10 @@ def test_scalars(spark):
 def test_normalisation(spark):
     h = "ab" * 32
     df = spark.createDataFrame([(f"  0x{h.upper()}\t", 1), (None, 2), ("", 3), ("0" * 64, 4), (" 0X" + "0" * 64, 5), ("0xzz", 6)], "h string, i int")
-    got = {r.i: (r.c, r.r, r.b and bytes(r.b)) for r in df.select("i", clean_hash(F.col("h")).alias("c"), real_hash(F.col("h")).alias("r"), hash_bytes(real_hash(F.col("h"))).alias("b")).collect()}
+    got = {r.i: (r.c, r.r, r.b and bytes(r.b)) for r in df.select("i", clean_hash("h").alias("c"), real_hash("h").alias("r"), real_hash_of("h").alias("b")).collect()}
     assert got == {1: (h, h, b"\xab" * 32), 2: (None, None, None), 3: ("", "", None), 4: ("0" * 64, "", None), 5: ("0" * 64, "", None), 6: ("zz", "zz", b"?zz")}
     df = spark.createDataFrame([(" BC1QaB ",), ("1aB",), ("  ",), (None,), ("",), ("\t3x",)], "a string")
-    assert [r[0] for r in df.select(clean_address(F.col("a"))).collect()] == ["bc1qab", "1aB", None, None, None, "3x"]
-    assert [r[0] for r in df.select(clean_name(F.col("a"))).collect()] == ["bc1qab", "1ab", None, None, None, "3x"]
+    assert [r[0] for r in df.select(clean_address("a")).collect()] == ["bc1qab", "1aB", None, None, None, "3x"]
+    assert [r[0] for r in df.select(clean_name("a")).collect()] == ["bc1qab", "1ab", None, None, None, "3x"]
     df = spark.createDataFrame([(None,), (0,), (-5,), (1357000000,), (1357000000123,), (1357000000123456,)], "t bigint")
-    assert [r[0] for r in df.select(epoch_seconds(F.col("t"))).collect()] == [None, None, None, 1357000000, 1357000000, 1357000000]
+    assert [r[0] for r in df.select(epoch_seconds("t")).collect()] == [None, None, None, 1357000000, 1357000000, 1357000000]
