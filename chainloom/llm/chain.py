@@ -24,10 +24,10 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     A block row without a hash stays apart.
     """
     rows = table(spark, sf_dir, "blocks").where("dropped_at IS NULL").select(
-        real_hash_of(F.col("hash")).alias("block"),
-        F.when(real_hash_of(F.col("hash")).isNull(), F.col("id")).alias("alone"),
-        clean_name(F.col("coin")).alias("coin"),
-        epoch_day(F.col("ntime")).alias("day"),
+        real_hash_of("hash").alias("block"),
+        F.when(real_hash_of("hash").isNull(), F.col("id")).alias("alone"),
+        clean_name("coin").alias("coin"),
+        epoch_day("ntime").alias("day"),
         "blocksize",
     )
     return rows.groupBy("block", "alone").agg(*[F.max(c).alias(c) for c in ("coin", "day", "blocksize")]).drop("alone")
@@ -36,7 +36,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transaction_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tx, coin, day) of each existing transaction that has a txid; coin and day are null where its block is unknown."""
     rows = table(spark, sf_dir, "transactions").where("dropped_at IS NULL").select(
-        real_hash_of(F.col("txid")).alias("tx"), real_hash_of(F.col("hashblock")).alias("block")
+        real_hash_of("txid").alias("tx"), real_hash_of("hashblock").alias("block")
     )
     txs = rows.where("tx IS NOT NULL").groupBy("tx").agg(F.max("block").alias("block"))
     known = Saved(blocks(spark, sf_dir).where("block IS NOT NULL").select("block", "coin", "day"), "blocks")
@@ -49,10 +49,10 @@ def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     Rows without txid or index stay apart by id. Coin and day are null where the transaction or its block is unknown.
     """
     rows = table(spark, sf_dir, "tx_out").where("dropped_at IS NULL").select(
-        real_hash_of(F.col("txid")).alias("tx"),
+        real_hash_of("txid").alias("tx"),
         F.col("indexout").alias("i"),
         "id",
-        clean_address(F.col("address")).alias("address"),
+        clean_address("address").alias("address"),
         "pattern",
         "value",
     )

@@ -30,7 +30,7 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     A source listed twice counts once, with its largest share and cap. Shares that are null or not positive, and caps that are null or below 1, take
     nothing. Documents without tokens and of sources that are not listed take no part.
     """
-    wanted = targets.select(clean_name(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats"))
+    wanted = targets.select(clean_name("source").alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats"))
     wanted = wanted.where("source IS NOT NULL").groupBy("source").agg(*[F.greatest(F.coalesce(F.max(c), F.lit(0)), F.lit(0)).alias(c) for c in ("target_share", "max_repeats")])
     have = sizes.where("n_tokens > 0").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.max("n_tokens").alias("largest"))
     zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_docs", "n_tokens", "largest")]

@@ -70,10 +70,10 @@ FROM o WHERE address IS NOT NULL GROUP BY ROLLUP (coin)"""
 def _address_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(address, first) for addresses whose outputs are spent together, directly or through others."""
     outs = table(spark, sf_dir, "tx_out").select(
-        real_hash_of(F.col("txid")).alias("h"), F.col("indexout").alias("i"), clean_address(F.col("address")).alias("address")
+        real_hash_of("txid").alias("h"), F.col("indexout").alias("i"), clean_address("address").alias("address")
     )
     ins = table(spark, sf_dir, "tx_in").select(
-        real_hash_of(F.col("hashprevout")).alias("h"), F.col("indexprevout").alias("i"), real_hash_of(F.col("txid")).alias("tx")
+        real_hash_of("hashprevout").alias("h"), F.col("indexprevout").alias("i"), real_hash_of("txid").alias("tx")
     )
     outs = outs.where("h IS NOT NULL AND i IS NOT NULL AND address IS NOT NULL").distinct()
     ins = ins.where("h IS NOT NULL AND i IS NOT NULL AND tx IS NOT NULL").distinct()
@@ -102,7 +102,7 @@ g(x, low) USING KEY (x) AS (
 
 def p3_address_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(address, group_id) for each address of tx_out: the smallest address of its group, itself where it is alone."""
-    every = table(spark, sf_dir, "tx_out").select(clean_address(F.col("address")).alias("address")).where("address IS NOT NULL").distinct()
+    every = table(spark, sf_dir, "tx_out").select(clean_address("address").alias("address")).where("address IS NOT NULL").distinct()
     return every.join(_address_groups(spark, sf_dir), "address", "left").select("address", F.coalesce("first", "address").alias("group_id"))
 
 
@@ -169,7 +169,7 @@ P6_DECODED = "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_byt
 
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
-    named = docs.select(F.struct("doc_id", clean_name(F.col("source")).alias("source")).alias("doc"), "text")  # kept by row: doc_id may be null or repeated
+    named = docs.select(F.struct("doc_id", clean_name("source").alias("source")).alias("doc"), "text")  # kept by row: doc_id may be null or repeated
     sizes = token_counts(named, doc="doc").select("doc.doc_id", "doc.source", "n_tokens")
     return mix(Saved(sizes, "sizes").df, table(spark, sf_dir, "mix_targets"))
 
@@ -185,7 +185,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixed_bytes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    sizes = table(spark, sf_dir, "documents").select("doc_id", clean_name(F.col("source")).alias("source"), F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_tokens"))
+    sizes = table(spark, sf_dir, "documents").select("doc_id", clean_name("source").alias("source"), F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_tokens"))
     return mix(Saved(sizes, "sizes").df, table(spark, sf_dir, "mix_targets"))
 
 
