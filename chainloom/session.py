@@ -94,7 +94,8 @@ def fits(saved: Saved, limit: int = BROADCAST_BYTES) -> bool:
     The rows are counted from the file footers; only if their fixed part fits are the lengths of texts and bytes added up.
     """
     df = saved.df
-    fixed = saved.count() * (ROW_BYTES + FIELD_BYTES * len(df.columns))
+    fields = sum(3 * FIELD_BYTES if kind.startswith("decimal") else FIELD_BYTES for _, kind in df.dtypes)
+    fixed = saved.count() * (ROW_BYTES + fields)
     if fixed > limit:
         return False
     wide = [F.sum(F.octet_length(c) + FIELD_BYTES) for c, kind in df.dtypes if kind in ("string", "binary")]
