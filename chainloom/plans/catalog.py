@@ -116,8 +116,8 @@ def _index_bytes(n) -> F.Column:
 
 def _index(spark, d) -> DataFrame:
     """Index records of all loaded blocks, dropped ones too, read from keys and values put together from the columns."""
-    rows = table(spark, d, "blocks").where("hash IS NOT NULL AND height IS NOT NULL").select(
-        "id", hash_text(hash_of("hash")).alias("block_hash"), "version", "height", F.when(F.col("dropped_at").isNull(), 13).otherwise(1).cast("bigint").alias("status"),
+    rows = table(spark, d, "blocks").where("hash IS NOT NULL AND height IS NOT NULL").withColumn("key", hash_of("hash")).select(
+        "id", hash_text("key").alias("block_hash"), "version", "height", F.when(F.col("dropped_at").isNull(), 13).otherwise(1).cast("bigint").alias("status"),
         F.col("blocksize").alias("tx_count"), F.floor(F.col("id") / 100).alias("blk_index"), (F.col("id") * 1000).alias("data_offset"),
     ).na.fill({"version": 0, "tx_count": 0}).where(F.length("block_hash") == 64)
     value = F.unhex(F.concat(*[_index_bytes(F.col(c)) for c in codec.INDEX_FIELDS]))
@@ -574,14 +574,14 @@ def _raw_txs(spark, d, witness: bool, whole: bool) -> DataFrame:
 
     A missing outpoint is written as zeros. A transaction without inputs has the witness form, in which alone it can be told from its marker.
     """
-    _, txs, tx_in, tx_out = ledger.all_tables(spark, d, whole)
+    _, txs, tx_in, tx_out = ledger.raw_tables(spark, d, whole)
 
     def joined(df, place, part, *more):
         parts = F.transform(F.array_sort(F.collect_list(F.struct(place, part.alias("h")))), lambda x: x["h"])
         return df.groupBy("txid").agg(F.array_join(parts, "").alias("parts"), F.count(F.lit(1)).alias("k"), *more)
 
     lost = F.max_by(F.col("hash_prev_out").isNull(), "in_index").alias("lost")
-    i = joined(tx_in, "in_index", exprs.input_hex(*[F.col(c) for c in ("hash_prev_out", "index_prev_out", "script_sig", "sequence")]), lost)
+    i = joined(tx_in, "in_index", exprs.input_hex(hash_text("hash_prev_out"), *[F.col(c) for c in ("index_prev_out", "script_sig", "sequence")]), lost)
     o = joined(tx_out, "index_out", exprs.output_hex(F.col("value"), F.col("script_pubkey")))
     i, o = (df.withColumnsRenamed({"parts": f"{n}_parts", "k": f"{n}_k"}) for df, n in ((i, "in"), (o, "out")))
     t = txs.join(i, "txid", "left").join(o, "txid", "left").na.fill({"in_k": 0, "out_k": 0, "in_parts": "", "out_parts": ""})
@@ -593,7 +593,7 @@ def _raw_txs(spark, d, witness: bool, whole: bool) -> DataFrame:
         F.expr(f"repeat('{stack}', cast(in_k as int))") if witness else F.lit(""),
         exprs.little_endian(F.coalesce("lock_time", F.lit(0)), 4),
     )
-    return t.select("txid", "hash_block", "tx_index", F.coalesce("lost", F.lit(False)).alias("lost"), raw.alias("raw"))
+    return ledger.shown(t.select("txid", "hash_block", "tx_index", F.coalesce("lost", F.lit(False)).alias("lost"), raw.alias("raw")))
 
 
 def _read_txs(spark, d, witness: bool, whole: bool) -> DataFrame:
